@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithgraph.functions.text import strip, words
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once for use in a body; lambdas would otherwise work it out per element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
@@ -15,8 +22,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def norm(a: Column) -> Column:
     """Length of a vector, 1.0 for the zero vector."""
-    n = F.sqrt(dot(a, a))
-    return F.when(n == 0.0, F.lit(1.0)).otherwise(n)
+    return F.coalesce(F.nullif(F.sqrt(dot(a, a)), F.lit(0.0)), F.lit(1.0))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -31,8 +37,7 @@ def clamped_cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / n)
+    return let(a, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: x.cast("double") / n)))
 
 
 def signed_byte(digest: Column, position: Column) -> Column:
@@ -43,15 +48,15 @@ def signed_byte(digest: Column, position: Column) -> Column:
 def token_embedding(text: Column, dims: int = 24) -> Column:
     """Sum over the tokens of their digest bytes, scaled to unit length."""
     digests = F.transform(words(F.lower(text)), lambda t: F.sha2(t, 256))
-    raw = F.transform(
+    raw = let(digests, lambda hs: F.transform(
         F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.aggregate(digests, F.lit(0.0), lambda acc, h: acc + signed_byte(h, i % 32)))
+        lambda i: F.aggregate(hs, F.lit(0.0), lambda acc, h: acc + signed_byte(h, i % 32))))
     return unit(raw)
 
 
 def text_embedding(text: Column, dims: int = 32) -> Column:
     digest = F.sha2(F.lower(strip(text)), 256)
-    return unit(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: signed_byte(digest, i % 32)))
+    return unit(let(digest, lambda h: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: signed_byte(h, i % 32))))
 
 
 def sigmoid(x: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kithgraph.functions import ids
 from kithgraph.operators import beliefs as ops
 from kithgraph.plans.registry import query
 from kithgraph.sources.graph import Graph
@@ -192,16 +193,22 @@ def contradiction_counts(g: Graph) -> DataFrame:
 
 
 @query("s16_contradiction_sink", sql="""
-WITH ord AS (SELECT 'b:'||o_orderkey AS id, 'Person:'||o_custkey AS s, o_orderpriority AS o, o_orderdate < DATE '2001-07-01' AS old FROM orders),
-p AS (SELECT n.id AS a, e.id AS b FROM ord n JOIN ord e ON NOT n.old AND e.old AND n.s = e.s AND n.o <> e.o)
+WITH ord AS (SELECT DISTINCT 'Person:'||o_custkey AS s, o_orderpriority AS o, o_orderdate < DATE '2001-07-01' AS old FROM orders),
+p AS (SELECT n.s, n.o AS a, e.o AS b FROM ord n JOIN ord e ON NOT n.old AND e.old AND n.s = e.s AND n.o <> e.o WHERE (e.s, e.o) NOT IN (SELECT (s, o) FROM ord WHERE NOT old))
 SELECT 'INVOLVES' AS rel, 2 * count(*)::BIGINT AS n FROM p UNION ALL SELECT 'DIALECTICAL_TENSION', count(*) FROM p UNION ALL SELECT 'node', count(*) FROM p""", graph=False)
 def contradiction_sink(g: Graph) -> DataFrame:
-    """Contradiction nodes and edges of the last month's orders against all earlier ones: one owner, several priorities."""
-    orders = g.table("orders").select(F.concat(F.lit("b:"), "o_orderkey").alias("id"), F.concat(F.lit("Person:"), "o_custkey").alias("subject_ref"), F.lit("OWNS").alias("predicate"),
-                                      F.col("o_orderpriority").alias("object_ref"), F.lit(None).cast("string").alias("object_label"),
-                                      F.lit(None).cast("date").alias("start_at"), F.lit(None).cast("date").alias("end_at"), "o_orderdate")
+    """Contradiction nodes and edges of the last month's orders against all earlier ones.
+
+    A belief is identified by its statement, so equal statements of one owner are one belief and a pair
+    exists per two different priorities, not per two orders.
+    """
     cut = F.lit("2001-07-01").cast("timestamp")
-    pairs = ops.contradictions(orders.filter(F.col("o_orderdate") >= cut), orders.filter(F.col("o_orderdate") < cut))
+    rows = g.table("orders").select(F.concat(F.lit("Person:"), "o_custkey").alias("subject_ref"), F.lit("OWNS").alias("predicate"),
+                                    F.col("o_orderpriority").alias("object_ref"), (F.col("o_orderdate") < cut).alias("old")).distinct()
+    stated = rows.withColumns({
+        "id": ids.belief_id(F.col("subject_ref"), F.col("predicate"), F.col("object_ref"), F.lit("unknown")),
+        "object_label": F.lit(None).cast("string"), "start_at": F.lit(None).cast("date"), "end_at": F.lit(None).cast("date")})
+    pairs = ops.contradictions(stated.filter(~F.col("old")), stated.filter("old"))
     nodes, involves, tension = ops.contradiction_graph(pairs)
     parts = nodes.select(F.lit("node").alias("rel")).unionByName(involves.select("rel")).unionByName(tension.select("rel"))
     return parts.groupBy("rel").agg(F.count("*").alias("n"))
