@@ -93,6 +93,10 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, not_self: bool = False)
     asked = cells if queries is data else cut_lineage(_with_cell(queries, pivots))
     asked = asked.select(F.col("id").alias("query"), "vector", "cell")
 
+    order = Window.partitionBy("query").orderBy(F.desc("sim"), F.desc("id"))
+    if n <= BLOCK and len(stats) == 1:  # one block holds everything
+        near = _round(asked.withColumn("cells", F.array(F.lit(next(iter(stats))))), cells, n_blocks, k, not_self, one_block=True)
+        return near.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
     first = asked.filter(F.col("cell").isin(*stats)) if queries is not data else asked
     near = _round(first.withColumn("cells", F.array("cell")), cells, n_blocks, k, not_self, one_block=True)
     bound = near.groupBy("query").agg(F.count("*").alias("n"), F.min("sim").alias("kth")) \
@@ -118,9 +122,7 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, not_self: bool = False)
 
     bounded = asked.join(bound, "query", "left").select("query", "vector", "kth")
     spread = bounded.mapInPandas(candidates, "query string, vector array<double>, cells array<int>")
-    if n > BLOCK:
-        near = _round(spread, cells, n_blocks, k, not_self, one_block=False)
-    order = Window.partitionBy("query").orderBy(F.desc("sim"), F.desc("id"))
+    near = _round(spread, cells, n_blocks, k, not_self, one_block=False)
     return near.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
 
 
