@@ -27,21 +27,29 @@ def unresolved_commitments(commitments: DataFrame, persons: DataFrame, as_of: Co
             .select("id", "text", "due_date", "status", "person_id", "person_name"))
 
 
-def recent_moods(interactions: DataFrame, mentions: DataFrame, works_for: DataFrame, as_of: Column,
-                 days: int = model.ALERT_WINDOW_DAYS, last: int = 3) -> DataFrame:
-    """Newest sentiments per organisation; one row per mentioned member, null sentiments left out."""
-    window = interactions.filter((F.col("at") >= as_of - F.make_dt_interval(F.lit(days))) & F.col("sentiment").isNotNull())
-    seen = (mentions.select(F.col("src").alias("id"), F.col("dst").alias("person_id"))
-            .join(window.select("id", "at", "sentiment"), "id")
-            .join(works_for.select(F.col("src").alias("person_id"), F.col("dst").alias("org_id")), "person_id"))
+def mentioned(interactions: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Interactions with each person they mention.  Skip this join where the rows already name the person."""
+    return (mentions.select(F.col("src").alias("id"), F.col("dst").alias("person_id"))
+            .join(interactions.select("id", "at", "sentiment"), "id"))
+
+
+def recent_moods(seen: DataFrame, works_for: DataFrame, as_of: Column, days: int = model.ALERT_WINDOW_DAYS,
+                 last: int = 3) -> DataFrame:
+    """Newest sentiments per organisation; one row per mentioned member, null sentiments left out.
+
+    ``seen`` holds id, person_id, at, sentiment.
+    """
+    window = seen.filter((F.col("at") >= as_of - F.make_dt_interval(F.lit(days))) & F.col("sentiment").isNotNull())
+    rows = window.select("id", "person_id", "at", "sentiment").join(
+        works_for.select(F.col("src").alias("person_id"), F.col("dst").alias("org_id")), "person_id")
     order = Window.partitionBy("org_id").orderBy(F.desc("at"), "id", "person_id")
-    return seen.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= last)
+    return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= last)
 
 
-def sentiment_drop(interactions: DataFrame, mentions: DataFrame, works_for: DataFrame, orgs: DataFrame, as_of: Column,
+def sentiment_drop(seen: DataFrame, works_for: DataFrame, orgs: DataFrame, as_of: Column,
                    days: int = model.ALERT_WINDOW_DAYS, last: int = 3) -> DataFrame:
     """Organisations whose newest sentiments are all negative."""
-    moods = recent_moods(interactions, mentions, works_for, as_of, days, last)
+    moods = recent_moods(seen, works_for, as_of, days, last)
     low = moods.groupBy("org_id").agg(F.count("*").alias("n"), F.every(F.col("sentiment") == "negative").alias("low")) \
         .filter((F.col("n") == last) & F.col("low"))
     return low.join(orgs.select(F.col("id").alias("org_id"), F.col("name").alias("org_name")), "org_id") \
@@ -75,31 +83,37 @@ def alert_page(alerts: DataFrame, types: Sequence[str] | None = None, statuses:
             .withColumn("total_pages", F.lit(math.ceil(total / size)).cast("bigint")))
 
 
-def collect_targets(interactions: DataFrame, commitments: DataFrame, edges: DataFrame, as_of: Column,
-                    days: int = model.ALERT_WINDOW_DAYS, limit: int | None = None) -> DataFrame:
-    """Incident rows (entity, item) for recent interactions and all commitments.
+def incidents(interactions: DataFrame, commitments: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (kind, item, entity, entity_label, ...) of everything that touches an interaction or a commitment.
+
+    The general form, for nodes and edges kept apart; a source whose rows hold both should build the rows directly.
+    """
+    items = {"Interaction": interactions.select(F.col("id").alias("item"), "at", "sentiment_score"),
+             "Commitment": commitments.select(F.col("id").alias("item"), "due_date", "status")}
+    out = None
+    for kind, frame in items.items():
+        there = edges.filter(F.col("src_label") == kind).select(F.col("src").alias("item"), F.col("dst").alias("entity"), F.col("dst_label").alias("entity_label"))
+        back = edges.filter(F.col("dst_label") == kind).select(F.col("dst").alias("item"), F.col("src").alias("entity"), F.col("src_label").alias("entity_label"))
+        rows = there.unionByName(back).distinct().join(frame, "item").withColumn("kind", F.lit(kind))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def collect_targets(rows: DataFrame, as_of: Column, days: int = model.ALERT_WINDOW_DAYS, limit: int | None = None) -> DataFrame:
+    """Incident rows of recent interactions and all commitments, for stakeholders and projects only.
 
-    Entities are stakeholders or projects.  ``limit`` takes the newest items first, nulls before
-    all, and is off unless asked for.
+    ``limit`` takes the newest items first, nulls before all, and is off unless asked for.
     """
-    recent = interactions.filter(F.col("at").isNull() | (F.col("at") >= as_of - F.make_dt_interval(F.lit(days)))) \
-        .select(F.col("id").alias("item"), "at", "sentiment_score")
-    promised = commitments.select(F.col("id").alias("item"), "due_date", "status")
+    interaction = F.col("kind") == "Interaction"
+    kept = rows.filter(~interaction | F.col("at").isNull() | (F.col("at") >= as_of - F.make_dt_interval(F.lit(days))))
     if limit is not None:
-        recent = recent.orderBy(F.desc_nulls_first("at"), "item").limit(limit)
-        promised = promised.orderBy("item").limit(limit)
+        newest = kept.filter(interaction).select("item", "at").distinct().orderBy(F.desc_nulls_first("at"), "item").limit(limit)
+        first = kept.filter(~interaction).select("item").distinct().orderBy("item").limit(limit)
+        kept = kept.join(newest.select("item").unionByName(first), "item", "left_semi")
     labels = [n for n in model.NODE_TYPES if any(k in n.lower() for k in model.STAKEHOLDER_KEYWORDS + ("project",))]
-    touching = None
-    for item_label, items in (("Interaction", recent), ("Commitment", promised)):
-        out = edges.filter((F.col("src_label") == item_label) & F.col("dst_label").isin(*labels)) \
-            .select(F.col("src").alias("item"), F.col("dst").alias("entity"), F.col("dst_label").alias("entity_label"))
-        back = edges.filter((F.col("dst_label") == item_label) & F.col("src_label").isin(*labels)) \
-            .select(F.col("dst").alias("item"), F.col("src").alias("entity"), F.col("src_label").alias("entity_label"))
-        rows = out.unionByName(back).distinct().join(items, "item").withColumn("kind", F.lit(item_label))
-        touching = rows if touching is None else touching.unionByName(rows, allowMissingColumns=True)
-    return touching.withColumn(
-        "category", F.when(F.col("entity_label").isin(*model.keyword_matches(labels, model.STAKEHOLDER_KEYWORDS)),
-                           "stakeholder").otherwise("project"))
+    stakeholders = model.keyword_matches(labels, model.STAKEHOLDER_KEYWORDS)
+    return kept.filter(F.col("entity_label").isin(*labels)).withColumn(
+        "category", F.when(F.col("entity_label").isin(*stakeholders), "stakeholder").otherwise("project"))
 
 
 def entity_scores(targets: DataFrame, as_of: Column) -> DataFrame:

@@ -62,9 +62,9 @@ def _visit(asked: DataFrame, blocks: DataFrame, k: int, not_self: bool) -> DataF
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query": [], "id": [], "sim": []})
-        right = right.sort_values("id", ascending=False, kind="stable")
-        names = right["id"].to_numpy()
-        sims = np.round(_units(left["vector"]) @ _units(right["vector"]).T, 12)
+        right = right.sort_values("other", ascending=False, kind="stable")
+        names = right["other"].to_numpy()
+        sims = np.round(_units(left["vector"]) @ _units(right["other_vector"]).T, 12)
         queries = left["query"].to_numpy()
         if not_self:
             sims = np.where(queries[:, None] == names[None, :], -np.inf, sims)
@@ -142,7 +142,8 @@ def _round(asked: DataFrame, cells: DataFrame, n_blocks: dict[int, int], k: int,
         rows = rows.withColumn("block", F.pmod(spot, blocks_of).cast("int"))
     else:
         rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks_of - 1)))
+    # new names and expressions: both sides may come from one frame, whose columns must not be mixed up
     data = cells.filter(F.col("cell").isin(*busy)).select(
-        "id", "vector", "cell", F.pmod(F.xxhash64("id"), blocks_of).cast("int").alias("block"),
+        F.col("id").alias("other"), F.col("vector").alias("other_vector"), (F.col("cell") + 0).alias("cell"), F.pmod(F.xxhash64("id"), blocks_of).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.element_at(chunks, F.col("cell")) - 1)).alias("chunk"))
     return _visit(rows, data, k, not_self)

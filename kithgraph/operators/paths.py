@@ -10,54 +10,64 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kithgraph.operators import policy as pol
-from kithgraph.operators.traversal import label_filter, undirected
+from kithgraph.operators.traversal import EdgeType, label_filter, step_filter, undirected, useful_steps
 from kithgraph.session import cut_lineage
 
 
 def enumerate_paths(edges: DataFrame, starts: DataFrame, target_labels: Sequence[str], rels: Sequence[str],
-                    max_hops: int = 4, candidates: int | None = None, target: DataFrame | None = None) -> DataFrame:
+                    max_hops: int = 4, candidates: int | None = None, target: DataFrame | None = None,
+                    start_labels: Sequence[str] = (), edge_types: Sequence[EdgeType] = ()) -> DataFrame:
     """Trails of 1..max_hops edges from each start to a node of a target label (or to ``target.id``).
 
     No edge is used twice in a trail; nodes may repeat.  ``candidates`` keeps that many trails per
     start by (hops, edge path).  As fewer hops come first, a start that has its fill stops growing,
     which is exact and keeps hubs from exploding.
     """
-    steps = (undirected(edges.filter(F.col("rel").isin(*rels)))
-             .withColumn("edge_id", F.concat_ws("|", "src", "rel", "dst")))
+    steps = undirected(edges.filter(F.col("rel").isin(*rels))).select(
+        "from_label", F.col("from_id").alias("target"), F.concat_ws("|", "src", "rel", "dst").alias("edge_id"), "rel", "seen_at", "to_id", "to_label")
+    plan = useful_steps([e for e in edge_types if e[1] in rels], start_labels, target_labels if target is None else (), max_hops) \
+        if edge_types and start_labels else None
+    if candidates is not None:  # every hop reads the edges again, so they are written once
+        used = steps if plan is None else steps.filter(step_filter({e for hop in plan for e in hop}))
+        steps = cut_lineage(used)
     frontier = starts.select(
         F.col("id").alias("start"), F.col("id").alias("target"), F.lit(0).alias("hops"),
         F.array("id").alias("node_ids"), F.array().cast("array<string>").alias("edge_ids"),
         F.array().cast("array<struct<rel:string,seen_at:timestamp>>").alias("edges"))
+    order = Window.partitionBy("start").orderBy("hops", F.array_join("edge_ids", ">"))
     found: list[DataFrame] = []
     for hop in range(1, max_hops + 1):
-        last = hop == max_hops
-        usable = steps.filter(label_filter("to_label", target_labels)) if last and target is None else steps
-        grown = (frontier.join(usable.select(F.col("from_id").alias("target"), "edge_id", "rel", "seen_at", "to_id",
-                                             "to_label"), "target")
-                 .filter(~F.array_contains("edge_ids", F.col("edge_id")))
-                 .select("start", F.col("to_id").alias("target"), "to_label", F.lit(hop).alias("hops"),
-                         F.array_append("node_ids", F.col("to_id")).alias("node_ids"),
-                         F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids"),
-                         F.array_append("edges", F.struct("rel", "seen_at")).alias("edges")))
+        wanted = label_filter("to_label", target_labels) if target is None else F.lit(True)
+        usable = steps if plan is None else steps.filter(step_filter(plan[hop - 1]))
+        hits = _grow(frontier, usable.filter(wanted), hop)
+        if target is not None:
+            hits = hits.join(target.select(F.col("id").alias("target")), "target", "left_semi")
+        if candidates is not None:
+            # at most ``candidates`` rows per start are kept; the cut is taken before the shuffle as well
+            hits = cut_lineage(hits.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= candidates).drop("__r"))
+        found.append(hits)
+        if hop == max_hops:
+            break
         if candidates is not None:
-            grown = cut_lineage(grown)
-        hits = grown.join(target.select(F.col("id").alias("target")), "target", "left_semi") if target is not None \
-            else grown.filter(label_filter("to_label", target_labels))
-        found.append(hits.select("start", "target", "hops", "node_ids", "edge_ids", "edges"))
-        frontier = grown.drop("to_label")
-        if candidates is not None and not last:
             full = (reduce(DataFrame.unionByName, found).groupBy("start").agg(F.count("*").alias("n"))
-                    .filter(F.col("n") >= candidates))
-            frontier = frontier.join(full.select("start"), "start", "left_anti")
+                    .filter(F.col("n") >= candidates).select("start"))
+            frontier = cut_lineage(frontier.join(full, "start", "left_anti"))
             if frontier.isEmpty():
                 break
+        frontier = _grow(frontier, usable, hop)
     out = reduce(DataFrame.unionByName, found)
     if candidates is None:
         return out
-    order = Window.partitionBy("start").orderBy("hops", F.array_join("edge_ids", ">"))
     return out.withColumn("candidate", F.row_number().over(order)).filter(F.col("candidate") <= candidates)
 
 
+def _grow(frontier: DataFrame, steps: DataFrame, hop: int) -> DataFrame:
+    """Trails one edge longer."""
+    return (frontier.join(steps.drop("from_label", "to_label"), "target").filter(~F.array_contains("edge_ids", F.col("edge_id")))
+            .select("start", F.col("to_id").alias("target"), F.lit(hop).alias("hops"), F.array_append("node_ids", F.col("to_id")).alias("node_ids"),
+                    F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids"), F.array_append("edges", F.struct("rel", "seen_at")).alias("edges")))
+
+
 def with_features(paths: DataFrame, nodes: DataFrame, as_of: Column) -> DataFrame:
     """Attach the feature map of each path; a path has at most a handful of nodes."""
     keyed = paths.withColumn("path_id", F.concat_ws(">", "start", F.array_join("edge_ids", ">")))
@@ -72,10 +82,10 @@ def with_features(paths: DataFrame, nodes: DataFrame, as_of: Column) -> DataFram
 
 def ranked_paths(edges: DataFrame, nodes: DataFrame, starts: DataFrame, target_labels: Sequence[str],
                  rels: Sequence[str], policy: pol.Policy, as_of: Column, limit: int = 3, max_hops: int = 4,
-                 target: DataFrame | None = None) -> DataFrame:
+                 target: DataFrame | None = None, **schema) -> DataFrame:
     """Best paths per start by policy score; candidates are taken first, then ranked."""
     candidates = max(limit * 5, 10)
-    paths = enumerate_paths(edges, starts, target_labels, rels, max_hops, candidates, target)
+    paths = enumerate_paths(edges, starts, target_labels, rels, max_hops, candidates, target, **schema)
     scored = pol.evaluate(with_features(paths, nodes, as_of), policy)
     order = Window.partitionBy("start").orderBy(F.desc("score"), "candidate")
     return scored.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+import math
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from itertools import islice
 
@@ -18,6 +19,9 @@ from kithgraph.functions.values import recency
 from kithgraph.functions.vectors import sigmoid
 
 
+ROWS_PER_TASK = 20_000  # samples a training task takes before more tasks pay off
+
+
 @dataclass(frozen=True)
 class Policy:
     """Per outcome an intercept and sparse weights.  A model artefact of a few dozen numbers."""
@@ -147,28 +151,39 @@ def train(labelled: DataFrame, version: str = "1.0.0", epochs: int = model.TRAIN
           learning_rate: float = model.TRAINING["learning_rate"], l2: float = model.TRAINING["l2"]) -> Policy:
     """Full-batch gradient descent, one-vs-rest, from zero.
 
-    Equal samples are merged with a count first.  Each step is one reduction: every block of
-    rows, cached on its executor, gives one partial gradient for all outcomes and only those few
-    numbers travel.
+    Equal samples are merged with a count first.  Each step is one reduction: every block of rows, cached on
+    its executor, gives one partial gradient for all outcomes and only those few numbers travel.
     """
     rows = labelled.filter(F.col("outcome").isin(*model.OUTCOMES)).select("outcome", "features")
     names = [r[0] for r in rows.select(F.explode(F.map_keys("features")).alias("k")).distinct().orderBy("k").collect()]
     vector = F.array(*[F.coalesce(F.element_at("features", n), F.lit(0.0)) for n in names], F.lit(1.0))
     packed = rows.select("outcome", vector.alias("x")).groupBy("outcome", "x").agg(F.count("*").alias("n")).cache()
-    total = packed.agg(F.sum("n")).first()[0] or 0
+    total, distinct = packed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     if not total:
         packed.unpersist()
         zero = {o: {k: 0.0 for k in model.FEATURE_KEYS} for o in model.OUTCOMES}
         return Policy(version, zero, {o: 0.0 for o in model.OUTCOMES})
     width, k = len(names) + 1, len(model.OUTCOMES)
-    blocks = packed.rdd.mapPartitions(_blocks).cache()
+    tasks = min(packed.rdd.getNumPartitions(), math.ceil(distinct / ROWS_PER_TASK))
+    blocks = packed.rdd.coalesce(tasks).mapPartitions(_blocks)
     decay = np.array([l2] * len(names) + [0.0])
-    w = np.zeros((k, width))
-    for _ in range(epochs):
-        partials = blocks.map(lambda block, w=w: _gradient(block, w))
-        grad = partials.treeReduce(np.add) if blocks.getNumPartitions() > 256 else partials.reduce(np.add)
-        w = w - learning_rate * (grad / total + decay * w)
-    blocks.unpersist()
+
+    def descend(gradient: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        w = np.zeros((k, width))
+        for _ in range(epochs):
+            w = w - learning_rate * (gradient(w) / total + decay * w)
+        return w
+
+    if tasks == 1:  # at most ROWS_PER_TASK samples: all steps run beside them, in one task
+        def alone(mine: Iterator) -> Iterator[np.ndarray]:
+            held = list(mine)
+            yield descend(lambda w: sum(_gradient(b, w) for b in held))
+
+        w = blocks.mapPartitions(alone).first()
+    else:
+        blocks = blocks.cache()
+        w = descend(lambda w: blocks.map(lambda b: _gradient(b, w)).treeReduce(np.add))
+        blocks.unpersist()
     packed.unpersist()
     return Policy(version, {o: dict(zip(names, map(float, w[i, :-1]))) for i, o in enumerate(model.OUTCOMES)},
                   {o: float(w[i, -1]) for i, o in enumerate(model.OUTCOMES)}, True)

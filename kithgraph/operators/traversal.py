@@ -11,26 +11,62 @@ from pyspark.sql import functions as F
 from kithgraph.functions.values import is_closed
 
 
+EdgeType = tuple[str, str, str]  # source label, relationship, target label
+
+
 def undirected(edges: DataFrame) -> DataFrame:
-    """Every edge seen from both ends; ``src``/``dst`` keep the stored direction."""
+    """Every edge seen from both ends, a loop once; ``src``/``dst`` keep the stored direction."""
     out = edges.select(F.col("src_label").alias("from_label"), F.col("src").alias("from_id"), "rel",
                        F.col("dst_label").alias("to_label"), F.col("dst").alias("to_id"), "src", "dst", "seen_at")
-    back = edges.select(F.col("dst_label").alias("from_label"), F.col("dst").alias("from_id"), "rel",
-                        F.col("src_label").alias("to_label"), F.col("src").alias("to_id"), "src", "dst", "seen_at")
+    back = edges.filter(F.col("src") != F.col("dst")).select(
+        F.col("dst_label").alias("from_label"), F.col("dst").alias("from_id"), "rel",
+        F.col("src_label").alias("to_label"), F.col("src").alias("to_id"), "src", "dst", "seen_at")
     return out.unionByName(back)
 
 
+def useful_steps(edge_types: Sequence[EdgeType], start_labels: Sequence[str], targets: Sequence[str], depth: int) -> list[list[EdgeType]]:
+    """Per hop the (from, rel, to) steps that lie on some walk from a start label to a target label.
+
+    Edge types are schema, a handful of triples.  Labels are literals in each branch of the edge union, so a
+    filter on them removes whole branches from the plan.
+    """
+    both = sorted({*edge_types, *((t, r, s) for s, r, t in edge_types)})
+    every = {label for s, _, t in both for label in (s, t)}
+    reach = [set(targets) if targets else every]
+    for _ in range(depth):
+        reach.append(reach[-1] | {s for s, _, t in both if t in reach[-1]})
+    now, hops = set(start_labels), []
+    for hop in range(1, depth + 1):
+        steps = [(s, r, t) for s, r, t in both if s in now and t in reach[depth - hop]]
+        hops.append(steps)
+        now = {t for _, _, t in steps}
+    return hops
+
+
+def step_filter(steps: Sequence[EdgeType]) -> Column:
+    cond = F.lit(False)
+    for s, r, t in steps:
+        cond = cond | ((F.col("from_label") == s) & (F.col("rel") == r) & (F.col("to_label") == t))
+    return cond
+
+
 def label_filter(column: str, labels: Sequence[str]) -> Column:
     """Label-set test; no labels means no filter."""
     return F.col(column).isin(*labels) if labels else F.lit(True)
 
 
 def ego_edges(edges: DataFrame, centers: DataFrame) -> DataFrame:
-    """Incident edges of each center (``id``), either direction, once each."""
+    """Incident edges of each center (``id``), either direction, once each.  Centers and edges are unique by key."""
     return (undirected(edges).join(centers.select(F.col("id").alias("from_id")), "from_id")
             .select(F.col("from_id").alias("center"), "src", "rel", "dst", F.col("to_id").alias("neighbour"),
-                    F.col("to_label").alias("neighbour_label"))
-            .dropDuplicates(["center", "src", "rel", "dst"]))
+                    F.col("to_label").alias("neighbour_label")))
+
+
+def ego_summary(ego: DataFrame) -> DataFrame:
+    """Edges, distinct neighbours and labels of each center, in two plain aggregates."""
+    around = ego.groupBy("center", "neighbour", "neighbour_label").agg(F.count("*").alias("n"))
+    return around.groupBy("center").agg(F.sum("n").alias("n_edges"), F.count("*").alias("n_neighbours"),
+                                        F.size(F.collect_set("neighbour_label")).cast("bigint").alias("n_labels"))
 
 
 def ego_nodes(edges: DataFrame, centers: DataFrame) -> DataFrame:
@@ -41,25 +77,27 @@ def ego_nodes(edges: DataFrame, centers: DataFrame) -> DataFrame:
     return own.unionByName(around).dropDuplicates(["center", "id", "label"])
 
 
-def related_nodes(edges: DataFrame, starts: DataFrame, labels: Sequence[str] = (), depth: int = 2) -> DataFrame:
+def related_nodes(edges: DataFrame, starts: DataFrame, labels: Sequence[str] = (), depth: int = 2,
+                  start_labels: Sequence[str] = (), edge_types: Sequence[EdgeType] = ()) -> DataFrame:
     """Distinct nodes of the wanted labels within ``depth`` hops of each start, start excluded.
 
-    A shortest path never repeats an edge, so the reachable set needs no edge bookkeeping: each
-    hop keeps distinct (start, node) pairs, and the wanted labels are applied to the edges of
-    the last hop before it is joined, where they prune whole branches of the edge union.
+    A shortest path never repeats an edge, so the reachable set needs no edge bookkeeping: each hop keeps
+    distinct (start, node) pairs.  Where the start labels and the edge types are known, a hop only reads edges that
+    can still lead to a wanted label.
     """
     steps = undirected(edges)
+    hops = useful_steps(edge_types, start_labels, labels, depth) if edge_types and start_labels else None
     frontier = starts.select(F.col("id").alias("start"), F.col("id").alias("node"))
     found: list[DataFrame] = []
     for hop in range(1, depth + 1):
-        keep = label_filter("to_label", labels)
+        usable = steps if hops is None else steps.filter(step_filter(hops[hop - 1]))
         if hop == depth:
-            hits = _expand(frontier, steps.filter(keep))
-        else:
-            frontier = _expand(frontier, steps).distinct()
-            hits = frontier.filter(label_filter("label", labels))
-        found.append(hits)
-        frontier = frontier.select("start", "node")
+            found.append(_expand(frontier, usable.filter(label_filter("to_label", labels))))
+            break
+        grown = _expand(frontier, usable).distinct()
+        found.append(grown.filter(label_filter("label", labels)))
+        onward = label_filter("label", sorted({s for s, _, _ in hops[hop]})) if hops is not None and hops[hop] else F.lit(True)
+        frontier = grown.filter(onward).select("start", "node")
     out = reduce(DataFrame.unionByName, found)
     return (out.filter(F.col("node") != F.col("start"))
             .select("start", F.col("node").alias("id"), "label").distinct())
@@ -71,14 +109,14 @@ def _expand(frontier: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def related_interactions(edges: DataFrame, starts: DataFrame, interactions: DataFrame, since: Column | None = None,
-                         until: Column | None = None) -> DataFrame:
+                         until: Column | None = None, **schema) -> DataFrame:
     """Interactions within two hops whose time lies in the closed range; a missing bound is open."""
     window = interactions
     if since is not None:
         window = window.filter(F.col("at") >= since)
     if until is not None:
         window = window.filter(F.col("at") <= until)
-    hits = related_nodes(edges, starts, ["Interaction"], 2)
+    hits = related_nodes(edges, starts, ["Interaction"], 2, **schema)
     return hits.join(window.select("id", "at", "sentiment_score"), "id").select("start", "id", "at", "sentiment_score")
 
 
@@ -168,15 +206,15 @@ def scope_members(nodes: DataFrame, edges: DataFrame, scope_label: str, prop: st
 
 
 def stakeholder_views(edges: DataFrame, starts: DataFrame, interactions: DataFrame, commitments: DataFrame,
-                      alerts: DataFrame) -> DataFrame:
+                      alerts: DataFrame, **schema) -> DataFrame:
     """One row per stakeholder: linked people and organisations, interactions, trend, commitments, projects, alerts."""
-    one_hop = related_nodes(edges, starts, ["Person", "Org"], 1).groupBy("start").agg(
+    one_hop = related_nodes(edges, starts, ["Person", "Org"], 1, **schema).groupBy("start").agg(
         F.count_if(F.col("label") == "Person").alias("n_persons"), F.count_if(F.col("label") == "Org").alias("n_orgs"))
-    seen = related_interactions(edges, starts, interactions).groupBy("start").agg(
+    seen = related_interactions(edges, starts, interactions, **schema).groupBy("start").agg(
         F.count("*").alias("n_interactions"),
         F.count_if(F.col("at").isNotNull() & F.col("sentiment_score").isNotNull()).alias("n_trend_points"),
         F.avg("sentiment_score").alias("mean_sentiment"))
-    near = related_nodes(edges, starts, ["Commitment", "Project", "Contract", "Issue"], 2)
+    near = related_nodes(edges, starts, ["Commitment", "Project", "Contract", "Issue"], 2, **schema)
     counts = near.groupBy("start").agg(
         *[F.count_if(F.col("label") == label).alias(name) for label, name in
           (("Project", "n_projects"), ("Contract", "n_contracts"), ("Issue", "n_issues"))])

@@ -14,7 +14,7 @@ from kithgraph.operators import paths
 from kithgraph.operators import policy as pol
 from kithgraph.operators import search
 from kithgraph.plans.registry import query
-from kithgraph.sources.graph import Graph
+from kithgraph.sources.graph import EDGE_TYPES, Graph
 from kithgraph.sources.sinks import append_samples
 
 # A trained policy for the queries that need one.
@@ -65,13 +65,13 @@ recent AS (
 SELECT o.id AS org_id, o.name AS org_name FROM org o JOIN recent r ON r.org_id = o.id WHERE r.position <= 3
 GROUP BY ALL HAVING count(*) = 3 AND bool_and(r.sentiment = 'negative')""")
 def sentiment_drop(g: Graph) -> DataFrame:
-    return ops.sentiment_drop(g.interactions_since(WINDOW_START), g.mentions, g.works_for, g.orgs, as_of())
+    return ops.sentiment_drop(g.interactions_since(WINDOW_START), g.works_for, g.orgs, as_of())
 
 
 @query("w01_last_three_sentiments", sql=RECENT_SQL + """
 SELECT org_id, id, sentiment, position::BIGINT AS position FROM recent WHERE position <= 3""")
 def last_three(g: Graph) -> DataFrame:
-    moods = ops.recent_moods(g.interactions_since(WINDOW_START), g.mentions, g.works_for, as_of())
+    moods = ops.recent_moods(g.interactions_since(WINDOW_START), g.works_for, as_of())
     return moods.select("org_id", "id", "sentiment", F.col("position").cast("bigint").alias("position"))
 
 
@@ -106,7 +106,7 @@ risk AS (SELECT *, 1.0 / (1.0 + exp(-(-0.4 + 0.2 * negative_streak + 0.05 * over
 
 
 def targets(g: Graph) -> DataFrame:
-    return ops.collect_targets(g.interactions_since(WINDOW_START), g.commitments, g.edges, as_of())
+    return ops.collect_targets(g.incidents(WINDOW_START), as_of())
 
 
 def scores(g: Graph) -> DataFrame:
@@ -124,7 +124,7 @@ def collect_targets(g: Graph) -> DataFrame:
 capped AS (SELECT id FROM recent ORDER BY tm DESC NULLS FIRST, id LIMIT 200)
 SELECT entity, count(*)::BIGINT AS n FROM targets WHERE kind = 'Interaction' AND item IN (SELECT id FROM capped) GROUP BY 1""")
 def newest_targets(g: Graph) -> DataFrame:
-    capped = ops.collect_targets(g.interactions, g.commitments, g.edges, as_of(), limit=200)
+    capped = ops.collect_targets(g.incidents(WINDOW_START), as_of(), limit=200)
     return capped.filter(F.col("kind") == "Interaction").groupBy("entity").agg(F.count("*").alias("n"))
 
 
@@ -374,7 +374,8 @@ SELECT start, target, hops::BIGINT AS hops, round(score, 6) AS score, position::
   SELECT *, row_number() OVER (PARTITION BY start ORDER BY score DESC, candidate) AS position FROM scored) WHERE position <= 3""")
 def ranked_paths(g: Graph) -> DataFrame:
     targets_, rels = path_arguments()
-    best = paths.ranked_paths(g.edges, g.nodes, g.persons.select("id"), targets_, rels, TRAINED, as_of())
+    best = paths.ranked_paths(g.edges, g.nodes, g.persons.select("id"), targets_, rels, TRAINED, as_of(),
+                             start_labels=["Person"], edge_types=EDGE_TYPES)
     return best.select("start", "target", F.col("hops").cast("bigint").alias("hops"), F.round("score", 6).alias("score"),
                        F.col("position").cast("bigint").alias("position"))
 
@@ -385,7 +386,8 @@ SELECT hops::BIGINT AS hops, count(*)::BIGINT AS n, round(max(score), 6) AS best
 def top_paths(g: Graph) -> DataFrame:
     """The best path of every person; limit 3 takes the candidates, rank 1 is reported."""
     targets_, rels = path_arguments()
-    best = paths.ranked_paths(g.edges, g.nodes, g.persons.select("id"), targets_, rels, TRAINED, as_of())
+    best = paths.ranked_paths(g.edges, g.nodes, g.persons.select("id"), targets_, rels, TRAINED, as_of(),
+                             start_labels=["Person"], edge_types=EDGE_TYPES)
     return best.filter(F.col("position") == 1).groupBy(F.col("hops").cast("bigint").alias("hops")).agg(
         F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
 
@@ -395,7 +397,7 @@ SELECT start, path, round(recency, 6) AS recency, round(age, 4) AS commitment_ag
        hops::DOUBLE AS path_length, 0.0::DOUBLE AS sentiment_slope FROM feats""")
 def path_features(g: Graph) -> DataFrame:
     targets_, rels = path_arguments()
-    found = paths.enumerate_paths(g.edges, g.persons.select("id"), targets_, rels, 4, 15)
+    found = paths.enumerate_paths(g.edges, g.persons.select("id"), targets_, rels, 4, 15, start_labels=["Person"], edge_types=EDGE_TYPES)
     rows = paths.with_features(found, g.nodes, as_of())
     return rows.select("start", F.array_join("edge_ids", ">").alias("path"), *[
         F.round(F.element_at("features", k), digits).alias(k) for k, digits in

@@ -11,7 +11,7 @@ from kithgraph.operators import alerts as alert_ops
 from kithgraph.operators import paths
 from kithgraph.operators import traversal as t
 from kithgraph.plans.registry import query
-from kithgraph.sources.graph import Graph
+from kithgraph.sources.graph import EDGE_TYPES, Graph
 
 ORDERS_AS_OF = "2000-01-01"
 EVENTS_AS_OF = "2024-01-31"
@@ -41,9 +41,7 @@ SELECT from_id AS center, count(*)::BIGINT AS n_edges, count(DISTINCT to_id)::BI
 FROM undirected WHERE from_label IN ('Person','Org') GROUP BY 1""")
 def ego_network(g: Graph) -> DataFrame:
     centers = g.persons.select("id").unionByName(g.orgs.select("id"))
-    return t.ego_edges(g.edges, centers).groupBy("center").agg(
-        F.count("*").alias("n_edges"), F.countDistinct("neighbour").alias("n_neighbours"),
-        F.countDistinct("neighbour_label").alias("n_labels"))
+    return t.ego_summary(t.ego_edges(g.edges, centers))
 
 
 @query("j01_ego_edges_of_orgs", sql="""
@@ -59,7 +57,7 @@ hop2 AS (SELECT DISTINCT h.start, u.to_id AS node, u.to_label AS label FROM hop1
 hits AS (SELECT start, node, label FROM hop1 WHERE label IN ('Project','Commitment') UNION SELECT start, node, label FROM hop2)
 SELECT start, label, count(*)::BIGINT AS n, min(node) AS first_id, max(node) AS last_id FROM hits WHERE node <> start GROUP BY ALL""")
 def two_hop(g: Graph) -> DataFrame:
-    hits = t.related_nodes(g.edges, g.orgs.select("id"), ["Project", "Commitment"], 2)
+    hits = t.related_nodes(g.edges, g.orgs.select("id"), ["Project", "Commitment"], 2, ["Org"], EDGE_TYPES)
     return hits.groupBy("start", "label").agg(F.count("*").alias("n"), F.min("id").alias("first_id"),
                                               F.max("id").alias("last_id"))
 
@@ -85,8 +83,9 @@ SELECT p.org_id AS start, count(*)::BIGINT AS n, strftime(min(i.tm), '%Y-%m-%d %
 FROM interaction i JOIN person p ON p.id = i.person_id
 WHERE i.tm >= TIMESTAMP '2024-01-10' AND i.tm <= TIMESTAMP '2024-01-20' GROUP BY 1""")
 def interactions_in_range(g: Graph) -> DataFrame:
-    hits = t.related_interactions(g.edges, g.orgs.select("id"), g.interactions,
-                                  F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"))
+    hits = t.related_interactions(g.edges, g.orgs.select("id"), g.interactions_since("2024-01-10"),
+                                  F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"),
+                                  start_labels=["Org"], edge_types=EDGE_TYPES)
     return hits.groupBy("start").agg(F.count("*").alias("n"),
                                      F.date_format(F.min("at"), "yyyy-MM-dd HH:mm:ss").alias("first_at"),
                                      F.date_format(F.max("at"), "yyyy-MM-dd HH:mm:ss").alias("last_at"))
@@ -168,9 +167,10 @@ SELECT start, hops::BIGINT AS hops, count(*)::BIGINT AS n_paths, count(DISTINCT
 def reasoning_paths(g: Graph) -> DataFrame:
     rels = model.reasoning_relationships()
     targets = [label for role in model.PATH_TARGET_ROLES for label in model.label_groups()[role]]
-    found = paths.enumerate_paths(g.edges, g.orgs.select("id"), targets, rels, max_hops=2)
-    return found.groupBy("start", F.col("hops").cast("bigint").alias("hops")).agg(
-        F.count("*").alias("n_paths"), F.countDistinct("target").alias("n_targets"))
+    found = paths.enumerate_paths(g.edges, g.orgs.select("id"), targets, rels, max_hops=2, start_labels=["Org"], edge_types=EDGE_TYPES)
+    per_target = found.groupBy("start", "hops", "target").agg(F.count("*").alias("n"))
+    return per_target.groupBy("start", F.col("hops").cast("bigint").alias("hops")).agg(
+        F.sum("n").alias("n_paths"), F.count("*").alias("n_targets"))
 
 
 @query("a01_distinct_collection", sql="""
@@ -223,7 +223,8 @@ SELECT o.id AS start, (SELECT count(*) FROM person p WHERE p.org_id = o.id)::BIG
   (SELECT count(*) FROM alerts a WHERE a.org_id = o.id)::BIGINT AS n_alerts
 FROM org o""")
 def stakeholder_views(g: Graph) -> DataFrame:
-    views = t.stakeholder_views(g.edges, g.orgs.select("id"), g.interactions, g.commitments, overdue_alerts(g))
+    views = t.stakeholder_views(g.edges, g.orgs.select("id"), g.interactions, g.commitments, overdue_alerts(g),
+                                start_labels=["Org"], edge_types=EDGE_TYPES)
     return views.withColumn("mean_sentiment", F.round("mean_sentiment", 6))
 
 

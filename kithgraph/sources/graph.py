@@ -14,6 +14,10 @@ STATUS_OF_ORDER = {"F": "done", "O": "open", "P": "accepted"}
 SENTIMENT_OF_EVENT = {"error": "negative", "view": "negative", "click": "neutral", "purchase": "positive",
                       "signup": "positive"}
 
+# Edge types of this graph: the schema that lets a traversal read only what it can use.
+EDGE_TYPES = (
+    ("Person", "WORKS_FOR", "Org"), ("Org", "INSTANCE_OF", "Concept"), ("Org", "PARTY_TO", "Contract"), ("Person", "MADE", "Commitment"),
+    ("Commitment", "RELATES_TO", "Project"), ("Person", "INVOLVED_IN", "Project"), ("Interaction", "MENTIONS", "Person"))
 NODE_COLUMNS = ("label", "id", "name", "status", "due_date", "at", "sentiment", "sentiment_score", "influence_score",
                 "concept_id", "source_uri")
 EDGE_COLUMNS = ("src_label", "src", "rel", "dst_label", "dst", "seen_at")
@@ -125,6 +129,27 @@ class Graph:
             prefixed("document", "doc_id").alias("id"), "text", "lang",
             F.concat(F.lit("doc://"), F.col("source")).alias("source_uri"))
 
+    def incidents(self, since: str) -> DataFrame:
+        """Everything that touches an interaction or a commitment, as rows with the item's own fields.
+
+        The business rows name both ends, so interactions and makers need no join at all; only the
+        projects of a commitment are looked up.
+        """
+        none = {c: F.lit(None).cast(kind) for c, kind in
+                (("at", "timestamp"), ("sentiment_score", "double"), ("due_date", "date"), ("status", "string"))}
+        columns = ["kind", "item", "entity", "entity_label", *none]
+
+        def rows(df: DataFrame, kind: str, entity: str, label: str) -> DataFrame:
+            missing = {c: v for c, v in none.items() if c not in df.columns}
+            named = df.withColumns({"kind": F.lit(kind), "item": F.col("id"), "entity": F.col(entity), "entity_label": F.lit(label), **missing})
+            return named.select(*columns)
+
+        promised = self.commitments.select("id", "due_date", "status", "owner_id")
+        needed = self.relates_to.select(F.col("src").alias("id"), F.col("dst").alias("project_id"))
+        return (rows(self.interactions_since(since).select("id", "at", "sentiment_score", "person_id"), "Interaction", "person_id", "Person")
+                .unionByName(rows(promised, "Commitment", "owner_id", "Person"))
+                .unionByName(rows(promised.drop("owner_id").join(needed, "id"), "Commitment", "project_id", "Project")))
+
     # --- all nodes and edges ------------------------------------------------------------
 
     @staticmethod
