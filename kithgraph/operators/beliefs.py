@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from kithgraph import model
 from kithgraph.functions import ids
 from kithgraph.functions.text import labelled_ref, non_empty
+from kithgraph.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -180,17 +181,36 @@ def conflict_counts(new: DataFrame, existing: DataFrame, rules: Rules = Rules())
     Windows are whole days.  Every number is a difference of group counts: pairs with another object
     are the pairs of the group minus those of the same object, and so on.
     """
-    known = existing.join(new.select("id").distinct(), "id", "left_anti")
     group, same = ["subject_ref", "predicate"], ["subject_ref", "predicate", "object_ref"]
-    rows = key_counts(new, known, group, "n_group")
-    rows = key_counts(rows, known, same, "n_same")
-    labelled = known.filter(F.col("object_label").isNotNull())
-    rows = key_counts(rows, labelled, group, "n_labelled")
-    rows = key_counts(rows, labelled, group + ["object_label"], "n_label")
-    rows = key_counts(rows, labelled, same, "n_same_labelled")
-    rows = key_counts(rows, labelled, same + ["object_label"], "n_same_label")
-    rows = overlap_counts(rows, known, group, "n_overlap")
-    rows = overlap_counts(rows, known, same, "n_overlap_same")
+    columns = ["id", *same, "object_label", "start_at", "end_at"]
+    new = cut_lineage(new.select(*columns))  # both sides are read by every count below
+    known = cut_lineage(existing.select(*columns).join(new.select("id").distinct(), "id", "left_anti"))
+
+    # Counts are looked up per distinct statement: many beliefs share one, and their counts with it.
+    full = same + ["object_label"]
+    cells = cut_lineage(known.groupBy(*full).agg(F.count("*").alias("n")))
+    labelled = cells.filter(F.col("object_label").isNotNull())
+    stated = new.select(*full).distinct()
+
+    def counted(frame: DataFrame, source: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+        return frame.join(source.groupBy(*keys).agg(F.sum("n").alias(name)), list(keys), "left").na.fill({name: 0})
+
+    stated = counted(stated, cells, group, "n_group")
+    stated = counted(stated, cells, same, "n_same")
+    stated = counted(stated, labelled, group, "n_labelled")
+    stated = counted(stated, labelled, group + ["object_label"], "n_label")
+    stated = counted(stated, labelled, same, "n_same_labelled")
+    stated = counted(stated, labelled, full, "n_same_label")
+
+    temporal_only = F.col("predicate").isin(*rules.temporal)
+    windows = new.filter(temporal_only).select("id", *same, "start_at", "end_at").distinct()
+    spans = known.filter(temporal_only)
+    windows = overlap_counts(overlap_counts(windows, spans, group, "n_overlap"), spans, same, "n_overlap_same")
+    n, t = new.alias("n"), stated.alias("t")
+    rows = n.join(t, [F.col(f"n.{c}").eqNullSafe(F.col(f"t.{c}")) for c in full], "left").select(
+        *[F.col(f"n.{c}").alias(c) for c in columns],
+        *[F.col(f"t.{c}").alias(c) for c in ("n_group", "n_same", "n_labelled", "n_label", "n_same_labelled", "n_same_label")])
+    rows = rows.join(windows.select("id", "n_overlap", "n_overlap_same").dropDuplicates(["id"]), "id", "left").na.fill({"n_overlap": 0, "n_overlap_same": 0})
     rows = rows.join(_rules_table(new, rules), "predicate", "left")
     zero = F.lit(0).cast("bigint")
     has_label = F.col("object_label").isNotNull()

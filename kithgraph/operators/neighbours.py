@@ -51,7 +51,7 @@ def _with_cell(df: DataFrame, pivots: np.ndarray) -> DataFrame:
             d = _chord(x @ pivots.T)
             best = d.argmin(axis=1)
             zero = ~x.any(axis=1)
-            yield pdf.assign(cell=np.where(zero, ZERO_CELL, best).astype("int32"),
+            yield pdf.assign(id=pdf["id"].astype(object), cell=np.where(zero, ZERO_CELL, best).astype("int32"),
                              radius=np.where(zero, 0.0, d[np.arange(len(x)), best]))
 
     return df.select("id", "vector").mapInPandas(assign, "id string, vector array<double>, cell int, radius double")
@@ -61,18 +61,18 @@ def _visit(asked: DataFrame, blocks: DataFrame, k: int, not_self: bool) -> DataF
     """Best k of each visited block per query; ties go to the larger id."""
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "id": [], "sim": []})
+            return pd.DataFrame({"query": pd.Series([], dtype=object), "id": pd.Series([], dtype=object), "sim": pd.Series([], dtype=float)})
         right = right.sort_values("other", ascending=False, kind="stable")
-        names = right["other"].to_numpy()
+        names = right["other"].to_numpy(dtype=object)
         sims = np.round(_units(left["vector"]) @ _units(right["other_vector"]).T, 12)
-        queries = left["query"].to_numpy()
+        queries = left["query"].to_numpy(dtype=object)
         if not_self:
             sims = np.where(queries[:, None] == names[None, :], -np.inf, sims)
         top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
         value = np.take_along_axis(sims, top, axis=1)
         keep = np.isfinite(value)
         rows = np.repeat(np.arange(len(left)), top.shape[1]).reshape(top.shape)
-        return pd.DataFrame({"query": queries[rows[keep]], "id": names[top[keep]], "sim": value[keep]})
+        return pd.DataFrame({"query": pd.Series(queries[rows[keep]], dtype=object), "id": pd.Series(names[top[keep]], dtype=object), "sim": value[keep]})
 
     key = ["cell", "block", "chunk"]
     return asked.groupBy(*key).cogroup(blocks.groupBy(*key)).applyInPandas(best, "query string, id string, sim double")
@@ -118,7 +118,7 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, not_self: bool = False)
             hit = (reachable <= allowed) | zero[:, None]
             lists = [[reach[j] for j in np.flatnonzero(row)] + ([ZERO_CELL] if has_zero and (z or f <= SLACK) else [])
                      for row, z, f in zip(hit, zero, floor)]
-            yield pdf[["query", "vector"]].assign(cells=lists)
+            yield pd.DataFrame({"query": pdf["query"].astype(object), "vector": pdf["vector"], "cells": pd.Series(lists, index=pdf.index, dtype=object)})
 
     bounded = asked.join(bound, "query", "left").select("query", "vector", "kth")
     spread = bounded.mapInPandas(candidates, "query string, vector array<double>, cells array<int>")
