@@ -21,6 +21,11 @@ def graph_hash(node_id: Column, neighbours: Column) -> Column:
     return F.sha2(F.to_json(F.struct(F.array_sort(neighbours).alias("neighbours"), node_id.alias("node_id"))), 256)
 
 
+def set_digest(member: Column) -> Column:
+    """Digest of a set of distinct texts that needs no order: the sum of their hashes.  Use inside an aggregate."""
+    return F.sum(F.conv(F.substring(F.sha1(member), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+
+
 def json_string(c: Column) -> Column:
     """JSON string literal, non-ASCII characters kept."""
     quoted = F.to_json(F.struct(c.alias("v")))

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from kithgraph import model
 from kithgraph.functions.similarity import similarity
-from kithgraph.functions.text import domain_of, name_tokens, non_empty
+from kithgraph.functions.text import domain_of, name_tokens, non_empty, normalise_text, token_signature
 from kithgraph.session import cut_lineage
 
 MENTION_FIELDS = ("name", "email", "phone", "domain", "org_id", "org_name")
@@ -83,11 +83,28 @@ def name_pairs(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
             .join(candidates.select("signature", F.lower("name").alias("low")).distinct(), "low").select("profile", "signature"))
 
 
+def length_pairs(mentions: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
+    """Pairs whose names could reach a similarity, judged by length alone.
+
+    A ratio is at most twice the shorter length over the sum, so only lengths within a factor of
+    (2 - t) / t can meet; that is an equi-join on the length, for the plain and for the sorted-token form.
+    """
+    reach = (2.0 - least) / least
+    parts = []
+    for form in (normalise_text, token_signature):
+        size = F.length(form(F.col("name")))
+        wanted = mentions.select("profile", size.alias("n")).filter("n > 0").select("profile", F.explode(F.sequence(
+            F.ceil(F.col("n") / reach).cast("int"), F.floor(F.col("n") * reach).cast("int"))).alias("n"))
+        parts.append(wanted.join(candidates.select("signature", size.alias("n")), "n").select("profile", "signature"))
+    return parts[0].unionByName(parts[1]).distinct()
+
+
 def candidate_pairs(mentions: DataFrame, candidates: DataFrame, category: str, exhaustive: bool = False) -> DataFrame:
     """Distinct (profile, signature) pairs to score.
 
     Persons: name, e-mail, phone, or an e-mail or organisation domain ending in the mention's domain.
-    Organisations: name or domain; ``exhaustive`` pairs every organisation instead.  Projects: equal name.
+    Organisations: name or domain; ``exhaustive`` adds every organisation whose name could be similar enough to
+    count, also when no token is contained.  Projects: equal name.
     """
     m = mentions.select("profile", *MENTION_FIELDS).distinct()
     c = candidates.select("signature", *CANDIDATE_FIELDS).distinct()
@@ -97,8 +114,7 @@ def candidate_pairs(mentions: DataFrame, candidates: DataFrame, category: str, e
     parts = [name_pairs(m, c)]
     if category == "org":
         if exhaustive:
-            named = m.filter(F.coalesce(non_empty("name"), non_empty("domain")).isNotNull())
-            return named.select("profile").join(c.select("signature"))
+            parts.append(length_pairs(m, c, model.threshold("org", "name_similarity")))
         parts.append(m.select("profile", F.lower("domain").alias("d")).join(c.select("signature", F.lower("domain").alias("d")), "d")
                      .select("profile", "signature"))
     else:

@@ -136,9 +136,7 @@ def cohesion(members: DataFrame, key: str) -> DataFrame:
 
 
 def member_digest(label: Column, ident: Column) -> Column:
-    """Digest of a member set that needs no order: a sum of member hashes.  Use inside an aggregate."""
-    part = F.conv(F.substring(F.sha1(F.concat_ws(":", label, ident)), 1, 15), 16, 10).cast("decimal(38,0)")
-    return F.sum(part).cast("string")
+    return ids.set_digest(F.concat_ws(":", label, ident))
 
 
 def text_hypotheses(vectors: DataFrame, concepts: DataFrame, created_at: str, particular: str = "Particular", cluster: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kithgraph import model
 from kithgraph.functions import ids, text, values, vectors
 from kithgraph.operators import registry as types
+from kithgraph.operators.traversal import undirected
 from kithgraph.plans.registry import query
 from kithgraph.sources.graph import Graph
 
@@ -214,11 +215,15 @@ def text_hash(g: Graph) -> DataFrame:
 
 
 @query("f10_graph_hash", sql="""
-SELECT src AS id, sha256(to_json({'neighbours': list_sort(list(dst)), 'node_id': src})) AS h FROM made GROUP BY 1""")
+SELECT from_id AS id, sha256(from_id||':'||count(DISTINCT to_id)||':'||(SELECT sum(('0x'||substr(sha1(n), 1, 15))::BIGINT) FROM (SELECT unnest(list_distinct(list(to_id))) AS n))) AS h FROM undirected WHERE from_label IN ('Org','Concept') GROUP BY 1""")
 def graph_hash(g: Graph) -> DataFrame:
-    """Content hash of each person's neighbourhood.  A hash needs the whole list, which is the node's degree."""
-    around = g.made.groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("neighbours"))
-    return around.select("id", ids.graph_hash(F.col("id"), F.col("neighbours")).alias("h"))
+    """Content hash of the neighbourhoods of organisations and concepts.
+
+    The digest of the neighbours needs no order, so a hub is reduced on the map side and never gathered.
+    """
+    around = undirected(g.edges).filter(F.col("from_label").isin("Org", "Concept")).select(F.col("from_id").alias("id"), "to_id").distinct()
+    rows = around.groupBy("id").agg(F.count("*").alias("n"), ids.set_digest(F.col("to_id")).alias("digest"))
+    return rows.select("id", F.sha2(F.concat_ws(":", "id", "n", "digest"), 256).alias("h"))
 
 
 @query("f11_belief_id", sql="""

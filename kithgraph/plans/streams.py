@@ -190,19 +190,19 @@ def session_history(g: Graph) -> DataFrame:
 @query("t10_session_summary", sql=SUMMARY_SQL)
 def streamed_summary(g: Graph) -> DataFrame:
     """The same summary kept up to date by a stream: each micro-batch writes a new version of the history."""
-    root, state = scratch_path(g.spark, "history"), {"version": None}
+    root, done = scratch_path(g.spark, "history"), []
 
     def update(batch: DataFrame, number: int) -> None:
+        """Version n is made of version n - 1 and batch n, so a batch that runs again gives the same version."""
         spark = batch.sparkSession
-        stored = spark.read.parquet(state["version"]) if state["version"] else None
-        path = f"{root}/version={number}"
-        memory.merge_history(stored, said(batch)).write.mode("overwrite").parquet(path)
-        state["version"] = path
+        stored = spark.read.parquet(f"{root}/version={number - 1}") if number else None
+        memory.merge_history(stored, said(batch)).write.mode("overwrite").parquet(f"{root}/version={number}")
+        done.append(number)
 
     rows = bus.file_stream(g.spark, os.path.join(g.folder, "conversations.parquet"))
     turns = rows.select(F.concat(F.lit("session:"), "conv_id").alias("session_id"), "turn", "text")
     bus.subscribe(turns, update, scratch_path(g.spark, "history-checkpoint")).awaitTermination()
-    history = g.spark.read.parquet(state["version"])
+    history = g.spark.read.parquet(f"{root}/version={max(done)}")
     return memory.session_summary(history).select("session_id", "summary", F.col("n").cast("bigint").alias("n"))
 
 

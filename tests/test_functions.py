@@ -89,3 +89,9 @@ def test_mentions_are_unicode_aware(spark):
 def test_closed_status(spark):
     rows = spark.createDataFrame([(" Done ",), ("open",), (None,)], "s string")
     assert [r[0] for r in rows.select(values.is_closed(F.col("s"))).collect()] == [True, False, False]
+
+
+def test_graph_hash_of_a_list(spark):
+    payload = {"neighbours": ["a", "é"], "node_id": "n"}
+    want = hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    assert one(spark, ids.graph_hash(F.col("n"), F.array(F.lit("é"), F.lit("a"))), n="n") == want
