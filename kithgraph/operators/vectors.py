@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from kithgraph import model
 from kithgraph.functions import ids
 from kithgraph.functions.text import non_empty
-from kithgraph.functions.vectors import centroids, cosine, dot, norm, signed_byte, text_embedding, unit
+from kithgraph.functions.vectors import centroids, cosine, dot, signed_byte, text_embedding, unit
 from kithgraph.operators.neighbours import nearest
 from kithgraph.session import cut_lineage
 
