@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm import decontaminate, simhash
+from kithgraph.llm import decontaminate, simhash, suffixes
 from kithgraph.llm.common import table
 from kithgraph.llm.registry import query
 
@@ -45,3 +45,27 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP3_SQL = r"""
+WITH bytes AS (SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS (SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS t
+           FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS s FROM bytes WHERE length(h) >= 200)),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS r FROM places) WHERE r > 1),
+runs AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS opens FROM later),
+numbered AS (SELECT doc_id, s, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM runs),
+spans AS (SELECT doc_id, run, min(s) AS low, max(s) + 100 AS high FROM numbered GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(high) OVER w, 0) AS low, low AS high FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY low)
+         UNION ALL SELECT doc_id, max(high), NULL FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(CASE WHEN g.high IS NULL THEN substr(h, 2 * low + 1) ELSE substr(h, 2 * low + 1, 2 * (g.high - low)) END, '' ORDER BY low) AS k
+         FROM gaps g JOIN bytes USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM bytes LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op3_suffix_array_dedup", OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.cut_repeats(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
