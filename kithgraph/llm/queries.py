@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm import decontaminate, simhash, suffixes
+from kithgraph.llm import decontaminate, mixing, simhash, suffixes, urls
 from kithgraph.llm.common import table
 from kithgraph.llm.registry import query
 
@@ -69,3 +69,30 @@ FROM bytes LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     found = suffixes.cut_repeats(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH rules(rule, r_host, r_path, verdict) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+                                                     ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+rests AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+hosts AS (SELECT page_id, r, regexp_extract(r, '^[^/?#]*') AS h FROM rests),
+parts AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(substr(r, length(h) + 1), '^[^?#]*') AS path FROM hosts),
+best AS (SELECT page_id, host, path, max_by(rules, length(rule)) AS b
+         FROM parts LEFT JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY ALL)
+SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verdict FROM best"""
+
+OP7_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query("op7_url_filters", OP7_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{r}', '{v}')" for r, v in OP7_RULES) + " AS t(rule, verdict)")
+    return urls.judge(table(spark, folder, "pages"), rules).withColumnRenamed("id", "page_id")
+
+
+@query("op10_entropy_mixing")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    found = mixing.mix(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", F.col("words").alias("source_size"), "target",
+                        (F.col("copies") * F.col("size")).alias("taken"))
