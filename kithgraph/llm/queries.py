@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm import decontaminate, mixing, simhash, suffixes, urls
+from kithgraph.llm import chunks, decontaminate, mixing, simhash, suffixes, urls
 from kithgraph.llm.common import table
 from kithgraph.llm.registry import query
 
@@ -71,6 +71,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op4_document_fingerprints")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks.edited_copies(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 OP7_SQL = r"""
 WITH rules(rule, r_host, r_path, verdict) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
                                                      ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
