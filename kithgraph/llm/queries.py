@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm import chunks, decontaminate, mixing, simhash, suffixes, urls
+from kithgraph.llm import chunks, decontaminate, langid, mixing, simhash, suffixes, urls
 from kithgraph.llm.common import table
 from kithgraph.llm.registry import query
 
@@ -96,6 +96,19 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), rules).withColumnRenamed("id", "page_id")
 
 
+def id_fold(column: str, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``."""
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(folds))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.train(docs, id_fold("doc_id", 4) != 2)
+    return (langid.identify(docs.select("doc_id", "text"), model)
+            .select("doc_id", (id_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"))
+
+
 @query("op10_entropy_mixing")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = mixing.mix(table(spark, folder, "documents"))
