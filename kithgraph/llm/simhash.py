@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kithgraph.llm.common import arrow, bounded_slices, written
 from kithgraph.operators.vectors import connected_components
@@ -151,12 +152,13 @@ def links(fps: DataFrame, max_bits: int = 4, list_bound: int = LIST_BOUND) -> Da
     if not 0 < max_bits < BYTES or max_bits % 2:
         raise ValueError("max_bits must be 2, 4 or 6")
     index = fps.select("fp", F.explode(index_keys(F.col("fp"), max_bits)).alias("key"))
-    lists = written(index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-lists")
-    posted = written(index.join(lists, "key"), "simhash-postings")
+    # one shuffle: a fingerprint has one row of its 70 in a list, so no list holds more than a seventieth of the index
+    counted = index.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    posted = written(counted.filter("n > 1"), "simhash-postings")
     short = posted.filter(F.col("n") <= list_bound).select("key", "fp").repartition("key").sortWithinPartitions("key")
     edges = short.mapInArrow(_forest(max_bits), "a long, b long")
     long = posted.filter(F.col("n") > list_bound)
-    if lists.filter(F.col("n") > list_bound).limit(1).count():
+    if long.limit(1).count():
         edges = edges.unionByName(_meet_halfway(long, max_bits))
     return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
