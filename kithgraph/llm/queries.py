@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm import chunks, decontaminate, langid, mixing, simhash, suffixes, urls
+from kithgraph.llm import chunks, decontaminate, langid, mixing, quality, simhash, suffixes, urls
 from kithgraph.llm.common import table
 from kithgraph.llm.registry import query
 
@@ -76,6 +76,19 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.edited_copies(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def id_fold(column: str, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``."""
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(folds))
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, folder, "labels"), id_fold("doc_id", 3) != 1)
+    return (quality.score(docs, model).select("doc_id", (id_fold("doc_id", 3) == 1).alias("held_out"), "score",
+                                              (F.col("score") >= 0.5).cast("int").alias("predicted")))
+
+
 OP7_SQL = r"""
 WITH rules(rule, r_host, r_path, verdict) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
                                                      ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
@@ -96,11 +109,6 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), rules).withColumnRenamed("id", "page_id")
 
 
-def id_fold(column: str, folds: int) -> Column:
-    """crc32 of the id as text, modulo ``folds``."""
-    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(folds))
-
-
 @query("op9_language_id")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
