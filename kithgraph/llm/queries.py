@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm import chunks, decontaminate, langid, mixing, quality, simhash, suffixes, urls
+from kithgraph.llm import chunks, decontaminate, langid, mixing, pii, quality, simhash, suffixes, urls
 from kithgraph.llm.common import table
 from kithgraph.llm.registry import query
 
@@ -109,6 +109,12 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), rules).withColumnRenamed("id", "page_id")
 
 
+@query("op8_pii_surrogates")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.replace(docs, count_name="n_entities")
+
+
 @query("op9_language_id")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
