@@ -198,3 +198,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return every.select("id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+                         item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` in which no window of an item occurs; extra columns stay as they are."""
+    keyed = row_keyed(docs, id_col, text_col)
+    found = contamination(keyed, benchmark, "__key", text_col, item_col, item_text_col, window)
+    gone = written(found.filter("n_hit > 0").select(F.col("id").alias("__key")), "contaminated")
+    return keyed.join(gone, "__key", "left_anti").select(*docs.columns)

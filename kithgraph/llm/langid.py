@@ -252,3 +252,17 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_name: s
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], [*names, lang_name, score_name])
 
     return docs.select(*names).mapInArrow(run, schema)
+
+
+def without_undetermined(docs: DataFrame, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                         per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
+    """The rows of ``docs`` whose language can be told: a letter at least, and a posterior of ``least_score``.
+
+    The model is fitted on the labelled rows of ``docs``.  Where none is labelled no language is known, and only null texts and texts
+    without a letter go.  Extra columns stay as they are.
+    """
+    model = train(docs, None, id_col, text_col, lang_col, per_language)
+    if not model.languages:
+        return docs.filter(F.col(text_col).rlike(r"\p{L}"))
+    judged = identify(docs, model, text_col, "__lang", "__score")
+    return judged.filter((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least_score)).select(*docs.columns)

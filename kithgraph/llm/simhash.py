@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kithgraph.llm.common import arrow, bounded_slices, written
+from kithgraph.llm.common import arrow, bounded_slices, row_keyed, written
 from kithgraph.operators.vectors import connected_components
 
 BYTES = 8
@@ -178,3 +178,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = parts.join(named, "part").select("fp", "component")
     each = distinct.join(found, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
     return prints.join(each, "fp").select("id", "fp", "component")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4) -> DataFrame:
+    """The rows of ``docs`` that come first, by (id, text), in their group of near-duplicates; groups are the components of links.
+
+    Null and wordless texts are one group.  Repeated rows are a group of which one stays.  Extra columns stay as they are.
+    """
+    keyed = row_keyed(docs, id_col, text_col)
+    found = near_duplicates(keyed, "__key", text_col, words, max_bits=max_bits)
+    gone = written(found.filter("id <> component").select(F.col("id").alias("__key")), "simhash-gone")
+    return keyed.join(gone, "__key", "left_anti").select(*docs.columns)
