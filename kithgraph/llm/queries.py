@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm import chunks, decontaminate, langid, mixing, pii, quality, simhash, suffixes, urls
+from kithgraph.llm import chunks, decontaminate, langid, lm, mixing, pii, quality, simhash, suffixes, urls
 from kithgraph.llm.common import table
 from kithgraph.llm.registry import query
 
@@ -89,6 +89,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
                                               (F.col("score") >= 0.5).cast("int").alias("predicted")))
 
 
+@query("op6_lm_scoring")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lm.score(docs, lm.train(docs)).drop("text")
+
+
 OP7_SQL = r"""
 WITH rules(rule, r_host, r_path, verdict) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
                                                      ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
