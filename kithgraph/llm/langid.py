@@ -5,7 +5,7 @@ segmentations into pieces of the product of their probabilities, which a forward
 text's log-probability is the sum over its words.  Every single byte is a piece as well, so no word is impossible.
 Piece probabilities are fitted by expectation maximisation (forward and backward passes over the words of labelled texts).
 
-Words are runs of letters, lower-cased, with a space in front that stands for the vocabulary's word mark.  Forward passes run over
+Words are runs of letters, lower-cased, with a space in front that stands for the vocabulary's word mark; very long runs are cut.  Forward passes run over
 all distinct words of a batch at once, for all languages.
 """
 
@@ -30,7 +30,7 @@ SAMPLE_PER_LANGUAGE = 400
 EM_ROUNDS = 4
 SHARE_OF_ALL = 0.01
 SCALE = 64.0  # keeps products near 1: about 6 bits for each byte
-RESCALE_EVERY = 24
+MOST_BYTES = 40  # longer runs of letters, as in writing without spaces, are cut into words of so many bytes
 SLICE = 8 << 20
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -92,7 +92,11 @@ class Words:
         start = np.flatnonzero(array == 32)
         end = np.append(start[1:], len(array)) if len(start) else start
         self.hasher = Hasher(array)
-        self.owner = np.repeat(np.arange(len(texts)), counts)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        parts_of = np.maximum(1, -(-(end - start) // MOST_BYTES))
+        place = np.arange(parts_of.sum()) - np.repeat(np.cumsum(parts_of) - parts_of, parts_of)
+        start, end, self.owner = np.repeat(start, parts_of) + MOST_BYTES * place, np.repeat(end, parts_of), np.repeat(owner, parts_of)
+        end = np.minimum(end, start + MOST_BYTES)
         _, first, self.which = np.unique(self.hasher.between(start, end), return_index=True, return_inverse=True)
         self.start, self.length = start[first], (end - start)[first]
 
@@ -119,24 +123,14 @@ def _found(words: Words, pieces: Pieces, group: np.ndarray) -> tuple[int, dict[t
     return size, found
 
 
-def _forward(size: int, found: dict, p: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """alpha[j, word, language], scaled, and the log of what was scaled away."""
+def _forward(size: int, found: dict, p: np.ndarray, n: int) -> np.ndarray:
+    """alpha[j, word, language]: the sum over the segmentations of the first j bytes, times SCALE**j."""
     alpha = np.zeros((size + 1, n, p.shape[1]))
     alpha[0] = 1.0
-    away = np.zeros((n, p.shape[1]))
-    into: dict[int, list[int]] = {}
-    for i, j in found:
-        into.setdefault(j, []).append(i)
-    for j in range(1, size + 1):
-        for i in into[j]:
-            have, piece = found[i, j]
-            alpha[j, have] += alpha[i, have] * p[piece] * SCALE ** (j - i)
-        if j % RESCALE_EVERY == 0:
-            low = max(0, j - 64)
-            most = alpha[low:j + 1].max(axis=0)
-            alpha[low:j + 1] /= most
-            away += np.log(most)
-    return alpha, away
+    for i, j in sorted(found, key=lambda span: span[1]):
+        have, piece = found[i, j]
+        alpha[j, have] += alpha[i, have] * p[piece] * SCALE ** (j - i)
+    return alpha
 
 
 def word_logs(words: Words, pieces: Pieces, p: np.ndarray) -> np.ndarray:
@@ -144,28 +138,22 @@ def word_logs(words: Words, pieces: Pieces, p: np.ndarray) -> np.ndarray:
     out = np.zeros((len(words.start), p.shape[1]))
     for group in words.groups():
         size, found = _found(words, pieces, group)
-        alpha, away = _forward(size, found, p, len(group))
-        out[group] = np.log(alpha[size]) + away - size * np.log(SCALE)
+        out[group] = np.log(_forward(size, found, p, len(group))[size]) - size * np.log(SCALE)
     return out
 
 
 def expected_counts(words: Words, weights: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
-    """How often each piece is expected in the words (weights[word, language]) over all segmentations.  Words over 60 bytes are left to
-    the scoring, as their products would need rescaling on both sides."""
+    """How often each piece is expected in the words (weights[word, language]) over all segmentations."""
     counts = np.zeros_like(p)
     for group in words.groups():
         group = group[weights[group].any(axis=1)]
-        if not len(group) or words.length[group[0]] > 60:
+        if not len(group):
             continue
         size, found = _found(words, pieces, group)
-        n = len(group)
-        alpha = np.zeros((size + 1, n, p.shape[1]))
+        alpha = _forward(size, found, p, len(group))
         beta = np.zeros_like(alpha)
-        alpha[0] = beta[size] = 1.0
+        beta[size] = 1.0
         spans = sorted(found)
-        for i, j in sorted(spans, key=lambda s: s[1]):
-            have, piece = found[i, j]
-            alpha[j, have] += alpha[i, have] * p[piece] * SCALE ** (j - i)
         for i, j in reversed(spans):
             have, piece = found[i, j]
             beta[i, have] += beta[j, have] * p[piece] * SCALE ** (j - i)
@@ -186,6 +174,8 @@ class Model:
 def fit(texts: list[str], langs: list[str], vocabulary: list[bytes], rounds: int = EM_ROUNDS) -> Model:
     """Piece probabilities by expectation maximisation; each is mixed with a little of all languages' and of the uniform one."""
     languages = sorted(set(langs))
+    if not languages:
+        return Model([], vocabulary, np.zeros((len(vocabulary), 0)))
     pieces, words = Pieces(vocabulary), Words(texts)
     lang = np.array([languages.index(x) for x in langs], dtype=np.int64)
     weights = np.zeros((len(words.start), len(languages)))
