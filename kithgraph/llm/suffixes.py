@@ -32,12 +32,23 @@ from kithgraph.llm.rolling import Hasher, leftmost_minimum, mix
 LENGTH = 100
 FIRST = 32
 BLOCK = 8
-RANKED = "outer long, inner long, key long, start int, n int, at int, settled boolean"
+RANKED = "outer long, inner long, key long, spot long"
 JUDGED = "key long, start int, n int, at int, again boolean"
-_RANKED = pa.schema([("outer", pa.int64()), ("inner", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("settled", pa.bool_())])
+_RANKED = pa.schema([("outer", pa.int64()), ("inner", pa.int64()), ("key", pa.int64()), ("spot", pa.int64())])
 _JUDGED = pa.schema([("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("again", pa.bool_())])
 
 
+def _pack(start: np.ndarray, n: np.ndarray, at: np.ndarray, settled: np.ndarray) -> np.ndarray:
+    """A spot as one number that sorts by its first window: that window, how many there are, the position's distance, and the flag."""
+    return start.astype(np.int64) << 32 | n.astype(np.int64) << 17 | (at - start).astype(np.int64) << 1 | settled.astype(np.int64)
+
+
+def _judged(batch: pa.RecordBatch, again: np.ndarray) -> pa.RecordBatch:
+    spot = batch.column(3).to_numpy()
+    start = spot >> 32
+    return arrow(_JUDGED, batch.column(2), start, spot >> 17 & 0x7FFF, start + (spot >> 1 & 0xFFFF), again)
+
+
 def _sampled(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """For each sampled position of the texts: text number, first window, number of windows, the position, and its rank pair."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -70,7 +81,7 @@ def _sample(docs: DataFrame, length: int) -> DataFrame:
             later = np.zeros(len(order), dtype=bool)
             later[1:] = (outer[1:] == outer[:-1]) & (inner[1:] == inner[:-1])
             outer = np.where(later, mix(keys[owner].view(np.uint64)), outer)
-            yield arrow(_RANKED, outer.view(np.int64), inner.view(np.int64), keys[owner], start, n, at, later)
+            yield arrow(_RANKED, outer.view(np.int64), inner.view(np.int64), keys[owner], _pack(start, n, at, later))
 
     return docs.select("key", "text").mapInArrow(run, RANKED)
 
@@ -81,10 +92,9 @@ def _refine(ranked: DataFrame) -> DataFrame:
         last: tuple[int, int] | None = None
         waiting: pa.RecordBatch | None = None  # first of its rank: whether another pair follows is not known yet
         for batch in batches:
-            settled = batch.column(6).to_numpy(zero_copy_only=False)
+            settled = batch.column(3).to_numpy() & 1 == 1
             if settled.any():
-                rows = batch.filter(pa.array(settled))
-                yield pa.RecordBatch.from_arrays([*rows.columns[2:6], pa.array(np.zeros(rows.num_rows, dtype=bool))], schema=_JUDGED)
+                yield _judged(batch.filter(pa.array(settled)), np.zeros(int(settled.sum()), dtype=bool))
                 batch = batch.filter(pa.array(~settled))
             if not batch.num_rows:
                 continue
@@ -106,14 +116,12 @@ def _refine(ranked: DataFrame) -> DataFrame:
                     yield waiting
                 waiting = None
                 if opens[-1]:
-                    row = batch.slice(int(pairs[-1]), 1)
-                    waiting = pa.RecordBatch.from_arrays([*row.columns[2:6], pa.array([True])], schema=_JUDGED)
+                    waiting = _judged(batch.slice(int(pairs[-1]), 1), np.ones(1, dtype=bool))
             keep = np.flatnonzero(again | ~pair_start)
             if len(keep):
-                rows = batch.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([*rows.columns[2:6], pa.array(again[keep])], schema=_JUDGED)
+                yield _judged(batch.take(pa.array(keep)), again[keep])
 
-    sort = ranked.repartition("outer").sortWithinPartitions("outer", "inner", "key", "start")
+    sort = ranked.repartition("outer").sortWithinPartitions("outer", "inner", "key", "spot")
     return sort.mapInArrow(run, JUDGED)
 
 
@@ -170,7 +178,8 @@ def _rank_again(found: DataFrame, step: int, length: int) -> DataFrame:
                 place = first
                 outer = hasher.between(first, first + length)
                 inner = hasher.between(first, first + length // 2) ^ mix(hasher.between(first + length // 2, first + length))
-            yield arrow(_RANKED, outer.view(np.int64), inner.view(np.int64), keys[row], first - base[row], many, place - base[row], np.zeros(len(row), dtype=bool))
+            start = first - base[row]
+            yield arrow(_RANKED, outer.view(np.int64), inner.view(np.int64), keys[row], _pack(start, many, place - base[row], np.zeros(len(row), dtype=bool)))
 
     return found.mapInArrow(run, RANKED)
 
@@ -183,8 +192,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Repeated rows, equal ids and null ids (first) are rows of their own in the order (id, text): all but the first of equal long
     texts go.  An empty table gives an empty table.  ``kept`` is binary, as a cut may fall inside a character.
     """
-    if length < FIRST + BLOCK:
-        raise ValueError(f"length must be at least {FIRST + BLOCK}")
+    if not FIRST + BLOCK <= length < 1 << 15:
+        raise ValueError(f"length must be from {FIRST + BLOCK} to {(1 << 15) - 1}")
     keyed = row_keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", "key")
     first = written(_refine(_sample(keyed, length)), "suffix-ranks")
     texts = keyed.select("key", "id", "text")
