@@ -9,19 +9,29 @@ from __future__ import annotations
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
-_CACHE: dict[str, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n at least."""
-    have = _CACHE.get("up")
-    if have is None or len(have) < n:
-        size = max(1 << 20, 1 << int(n).bit_length())
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _CACHE[name] = np.multiply.accumulate(steps)
-    return _CACHE["up"], _CACHE["down"]
+class Powers:
+    """BASE**i and BASE**-i modulo 2**64, kept as far as they were asked for.  A copy sent to an executor starts empty."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def __reduce__(self):
+        return Powers, ()
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """At least the first n of each."""
+        if len(self.up) < n:
+            size = max(1 << 20, 1 << int(n).bit_length())
+            steps = np.full(size, BASE, dtype=np.uint64), np.full(size, pow(BASE, -1, 1 << 64), dtype=np.uint64)
+            for s in steps:
+                s[0] = 1
+            self.up, self.down = (np.multiply.accumulate(s) for s in steps)
+        return self.up, self.down
+
+
+POWERS = Powers()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,7 +48,7 @@ class Hasher:
     """Substring hashes of one buffer."""
 
     def __init__(self, data: np.ndarray):
-        up, self.down = powers(len(data) + 1)
+        up, self.down = POWERS.of(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
 
