@@ -11,8 +11,6 @@ from kithgraph import model
 from kithgraph.functions.text import keyword_any, non_empty, strip
 from kithgraph.session import cut_lineage
 
-MAX_DEPTH = 64
-
 
 def recent(entries: DataFrame, limit: int = model.FEEDBACK_LIMIT, current: DataFrame | None = None) -> DataFrame:
     """Newest entries, with the current one appended before the limit is taken again."""
@@ -103,7 +101,7 @@ def json_diff(rows: DataFrame, key: str, before: str, after: str) -> DataFrame:
     level = rows.select(F.col(key).alias("doc"), F.lit("").alias("path"), F.col(before).alias("b"), F.col(after).alias("a"),
                         F.lit(True).alias("has_b"), F.lit(True).alias("has_a"))
     found: DataFrame | None = None
-    for _ in range(MAX_DEPTH):
+    while True:
         kind_b, kind_a = F.left(F.ltrim("b"), F.lit(1)), F.left(F.ltrim("a"), F.lit(1))
         opened = F.col("has_b") & F.col("has_a") & (kind_b == kind_a) & kind_b.isin("{", "[")
         level = cut_lineage(level.withColumn("open", F.coalesce(opened, F.lit(False))))
@@ -112,11 +110,10 @@ def json_diff(rows: DataFrame, key: str, before: str, after: str) -> DataFrame:
         found = leaf if found is None else found.unionByName(leaf)
         deeper = level.filter("open")
         if deeper.isEmpty():
-            break
+            return found
         left, right = _members(deeper, "b"), _members(deeper, "a")
         level = left.join(right, ["doc", "path"], "full").select(
             "doc", "path", "b", "a", F.coalesce("has_b", F.lit(False)).alias("has_b"), F.coalesce("has_a", F.lit(False)).alias("has_a"))
-    return found
 
 
 def _members(level: DataFrame, side: str) -> DataFrame:

@@ -68,7 +68,7 @@ def knn_edges(vectors: DataFrame, k: int | None = None) -> DataFrame:
     return hits.select(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b"), "sim").groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(id, component): the smallest id of each connected component.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the edge set stops changing,
@@ -77,7 +77,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
     """
     current = cut_lineage(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

@@ -38,10 +38,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach.
+    """Folder every executor can reach: the one named in ``spark.checkpoint.dir``.
 
-    On a cluster it is the one named in ``spark.checkpoint.dir``.  Only where nothing is
-    configured (tests, single machine) a local folder is made.
+    Only in local mode, where nothing is configured, a folder of this machine is made; on a cluster executors could not
+    see each other's files in it, so there it is an error.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
@@ -49,14 +49,19 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         local = tempfile.mkdtemp(prefix="kithgraph-")
         spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; never reused, so nothing is overwritten."""
-    return os.path.join(shared_dir(spark), "scratch", f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder; never reused, so nothing is overwritten.  It is deleted when the session's JVM ends."""
+    path = os.path.join(shared_dir(spark), "scratch", f"{name}-{uuid.uuid4().hex}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
