@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ EM_ROUNDS = 4
 SHARE_OF_ALL = 0.01
 SCALE = 64.0  # keeps products near 1: about 6 bits for each byte
 MOST_BYTES = 40  # longer runs of letters, as in writing without spaces, are cut into words of so many bytes
-SLICE = 8 << 20
+SLICE = 4 << 20
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
 NOT_LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -145,7 +146,7 @@ def word_logs(words: Words, pieces: Pieces, p: np.ndarray) -> np.ndarray:
 def expected_counts(words: Words, weights: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
     """How often each piece is expected in the words (weights[word, language]) over all segmentations."""
     counts = np.zeros_like(p)
-    for group in words.groups():
+    for group in words.groups(1 << 13):
         group = group[weights[group].any(axis=1)]
         if not len(group):
             continue
@@ -176,10 +177,14 @@ def fit(texts: list[str], langs: list[str], vocabulary: list[bytes], rounds: int
     languages = sorted(set(langs))
     if not languages:
         return Model([], vocabulary, np.zeros((len(vocabulary), 0)))
-    pieces, words = Pieces(vocabulary), Words(texts)
-    lang = np.array([languages.index(x) for x in langs], dtype=np.int64)
+    seen: dict[bytes, Counter] = {}  # distinct words only, so the passes below stay small
+    for text, lang in zip(texts, langs):
+        for word, n in Counter(text.lower().encode("utf-8", "replace").translate(NOT_LETTERS).split()).items():
+            seen.setdefault(word, Counter())[lang] += n
+    pieces, words = Pieces(vocabulary), Words([w.decode("utf-8", "replace") for w in seen])
+    counted = np.array([[c[x] for x in languages] for c in seen.values()], dtype=float).reshape(len(seen), len(languages))
     weights = np.zeros((len(words.start), len(languages)))
-    np.add.at(weights, (words.which, lang[words.owner]), 1.0)
+    np.add.at(weights, words.which, counted[words.owner])
     lengths = np.array([len(v) for v in vocabulary], dtype=float)
     p = np.repeat((SCALE ** -lengths / (SCALE ** -lengths).sum())[:, None], len(languages), axis=1)
     for _ in range(rounds):
