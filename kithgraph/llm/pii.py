@@ -45,11 +45,14 @@ PATTERNS = {
     "secret": r"""(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b["']?\s*[:=]\s*["']?)(?P<secret>[A-Za-z0-9_\-/+]{16,})""",
     "mail": r"(?P<mail>(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]))",
     "ip": r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))",
-    "card": r"(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d))",
+    "card": r"(?P<card>(?:(?<![\w.+-])|(?<=\d-))\d(?:[ -]?\d){12,18}(?!\w|\.\d))",
     "phone": r"(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))",
     "name": rf"\b(?P<title>{_titles})\b\.?[ \u00a0](?P<name>[^\W\d_a-zа-я][\w'’-]*(?:[ \u00a0][^\W\d_a-zа-я][\w'’-]*){{0,2}})",
 }
 FINDER = re.compile("|".join(PATTERNS.values()))
+NO_CARD = re.compile("|".join(p for kind, p in PATTERNS.items() if kind != "card"))
+GROUP = re.compile(r"[ -]?(\d+)")
+AFTER = re.compile(r"\w|\.\d")  # what may not follow a card
 HINT = re.compile(rf"[@\d]|\b(?:{_titles})\b|(?i:token|secret|passw|api.?key|access.?key)")
 GENDER = {t.lower(): g for g, group in TITLES.items() for t in group}
 
@@ -59,19 +62,47 @@ def luhn(digits: str) -> int:
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits)))
 
 
+def card_end(text: str, start: int) -> int | None:
+    """End of the longest valid card number that starts here and takes whole groups of digits."""
+    digits, at, best = "", start, None
+    while (m := GROUP.match(text, at)) and len(digits) + len(m[1]) <= 19:
+        digits, at = digits + m[1], m.end()
+        if len(digits) >= 13 and luhn(digits) % 10 == 0 and len(set(digits)) > 1 and not AFTER.match(text, at):
+            best = at
+    return best
+
+
+def first_of_run(text: str, at: int, end: int) -> tuple[int, int | None, re.Match | None]:
+    """What starts first at a group of a run of digits: (start, end, None) of a card, or (start, None, match) of another entity.
+    (end of the run, None, None) if nothing does."""
+    while at < end:
+        if close := card_end(text, at):
+            return at, close, None
+        if m := NO_CARD.match(text, at):
+            return at, None, m
+        at = GROUP.match(text, at).end()
+        at += at < end  # the space or hyphen
+    return end, None, None
+
+
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, gender) of the entities of a text, left to right.  Numbers that only look like cards are none."""
+    """(start, end, type, gender) of the entities of a text, left to right.  Numbers that only look like cards are none.
+
+    Where a run of groups of digits is no card, each of its groups may still start one, or something else.
+    """
     if not text or not HINT.search(text):
         return []
     found, at = [], 0
     while m := FINDER.search(text, at):
-        kind = m.lastgroup
-        kind = "name" if kind == "title" else kind
+        if m.lastgroup == "card":
+            at, close, m = first_of_run(text, *m.span())
+            if close:
+                found.append((at, close, "card", ""))
+                at = close
+            if not m:
+                continue
+        kind = "name" if m.lastgroup == "title" else m.lastgroup
         start, end = m.span(kind)
-        digits = re.sub(r"\D", "", m[kind]) if kind == "card" else ""
-        if kind == "card" and (luhn(digits) % 10 or len(set(digits)) == 1):
-            at = end
-            continue
         found.append((start, end, kind, GENDER[m["title"].lower()] if kind == "name" else ""))
         at = end
     return found
