@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm import chunks, decontaminate, langid, lm, mixing, pii, quality, simhash, suffixes, urls
+from kithgraph.llm import centroids, chunks, decontaminate, langid, lm, mixing, pii, quality, simhash, suffixes, urls
 from kithgraph.llm.common import table
 from kithgraph.llm.registry import query
 
@@ -134,3 +134,35 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = mixing.mix(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", F.col("words").alias("source_size"), "target",
                         (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """Assignments and moves written out round by round; sums and products stay below 2**53, so doubles are exact."""
+    parts = [f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, v, list_inner_product(v, v) AS vv
+  FROM (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS c, v AS m FROM kept QUALIFY c < {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, c, d FROM (SELECT r, c, vv - 2 * list_inner_product(v, m) + list_inner_product(m, m) AS d FROM kept, c{i})
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c, coalesce(w.m, c{i}.m) AS m FROM c{i} LEFT JOIN (
+    SELECT c, list(q ORDER BY p) AS m FROM (
+      SELECT c, p, floor(sum(x) / count(*)) AS q
+      FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM a{i} JOIN kept USING (r)) GROUP BY c, p) GROUP BY c) w USING (c))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(m, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} USING (c)"""
+
+
+@query("op11_centroid_clustering", _op11_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = centroids.cluster(table(spark, folder, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia",
+                        F.sha2("centroid", 256).alias("centroid_sha256"))
