@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm import centroids, chunks, decontaminate, langid, lm, mixing, pii, quality, simhash, suffixes, urls
+from kithgraph.llm import centroids, chunks, decontaminate, langid, lm, mixing, pii, quality, simhash, suffixes, tries, urls
 from kithgraph.llm.common import table
 from kithgraph.llm.registry import query
 
@@ -166,3 +166,36 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     found = centroids.cluster(table(spark, folder, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia",
                         F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
+           FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT c, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(unicode(s) AS BIGINT)),
+                 lambda a, x: list_reduce([xor(a, x)] || range(8), lambda b, i: xor(b >> 1, 3988292384 * (b & 1))))) AS crc
+        FROM (SELECT DISTINCT c FROM t)),
+convs AS (SELECT c, c - c % 5 AS base, crc % 9 AS h FROM crc),
+built AS (SELECT c, list({'r': role, 't': text} ORDER BY part, n) AS s FROM (
+            SELECT v.c, 0 AS part, t.n, role, text FROM convs v JOIN t ON t.c = v.base AND t.n <= h
+            UNION ALL SELECT v.c, 1, t.n, role, text FROM convs v JOIN t ON t.c = v.c AND t.n > h) GROUP BY c),
+whole AS (SELECT c, coalesce(s, []) AS s FROM convs LEFT JOIN built USING (c)),
+starts AS (SELECT c, s, d, list_slice(s, 1, d) AS p FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM whole)),
+nodes AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(s) = d), '') AS ends,
+                 CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * octet_length(encode(p[d].t)) END AS saved
+          FROM starts GROUP BY p, d),
+children AS (SELECT list_slice(p, 1, d - 1) AS p, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (p, d)),
+sums AS (SELECT list_slice(p, 1, a) AS p, a AS d, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+         FROM (SELECT p, saved, n_children, unnest(range(0, d + 1)) AS a FROM full_) GROUP BY ALL)
+SELECT f.conv_id, f.d AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_ f JOIN sums USING (p, d) LEFT JOIN nodes up ON f.d > 0 AND up.d = f.d - 1 AND up.p = list_slice(f.p, 1, f.d - 1)"""
+
+
+@query("op12_conversation_prefix_trie", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = tries.prefix_trie(*tries.inheriting(tries.numbered_turns(table(spark, folder, "conversations"))))
+    return found.select(F.col("least").alias("conv_id"), "depth", F.col("parent_least").alias("parent_conv_id"), F.col("n").alias("n_convs"),
+                        F.col("children").alias("n_children"), F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"),
+                        F.col("ends").alias("ends_sha256"))
