@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm import centroids, chunks, decontaminate, langid, lm, mixing, pii, quality, simhash, suffixes, tries, urls
+from kithgraph.llm import bytepairs, centroids, chunks, decontaminate, langid, lm, mixing, pii, quality, simhash, suffixes, tries, urls
 from kithgraph.llm.common import table
 from kithgraph.llm.registry import query
 
@@ -199,3 +200,11 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("least").alias("conv_id"), "depth", F.col("parent_least").alias("parent_conv_id"), F.col("n").alias("n_convs"),
                         F.col("children").alias("n_children"), F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"),
                         F.col("ends").alias("ends_sha256"))
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = bytepairs.decode(bytepairs.encode(table(spark, folder, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN), path)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
