@@ -17,12 +17,12 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +30,10 @@ from pyspark.sql import types as T
 
 from kithgraph.llm.common import bounded_slices
 
-PAIRS = 1 << 18  # remembered pairs of tokens
-PIECES = 1 << 16  # remembered pieces
-SHORT = 64  # bytes of a remembered piece at most
+PAIRS = 1 << 19  # remembered pairs of tokens
+PIECES = 1 << 18  # remembered pieces
+SHORT = 48  # letters of a remembered piece at most
+WHOLE = 1 << 20  # letters of a text that is split at once; longer ones go piece by piece
 SLICE = 1 << 20
 
 
@@ -54,29 +55,64 @@ def merged(ranks: dict[bytes, int], data: bytes) -> list[bytes]:
 
 
 class Vocabulary:
-    """What tasks need of a rank file: each token's bytes, and of those that merging can bring about the longest shorter one they start with."""
+    """What tasks need of a rank file: each token's bytes, and of those that merging can bring about the longest shorter one they start with.
+
+    ``first`` and ``last`` are the tokens along a token's left and right edge while it is merged, from its first or last byte to itself.
+    Where no token ranks before the two it is merged from (``ordered``), merges happen in the order of ranks: one that came up late with a lower
+    rank would, within its own bytes, be a token that ranks before its parts.  Then edges tell which tokens agree.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.bytes = {rank: token for token, rank in ranks.items()}
-        reached = {token for token in ranks if len(token) == 1 or merged(ranks, token) == [token]}  # others never come out of a merge
+        parts = {token: (token,) if len(token) == 1 else _halves(ranks, token) for token in ranks}
+        reached = {token for token, p in parts.items() if p is not None}  # others never come out of a merge
         self.shorter = {ranks[token]: next((ranks[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in reached), -1) for token in reached}
+        self.ordered = all(ranks[half] < ranks[token] for token in reached for half in parts[token] if half != token)
+        self.first, self.last = {}, {}
+        for token in sorted(reached, key=len):
+            left, right = parts[token][0], parts[token][-1]
+            self.first[ranks[token]] = (self.first[ranks[left]] if left != token else ()) + (ranks[token],)
+            self.last[ranks[token]] = (self.last[ranks[right]] if right != token else ()) + (ranks[token],)
+
+
+def _halves(ranks: dict[bytes, int], token: bytes) -> tuple[bytes, bytes] | None:
+    """The two parts whose merge brings a token about, or none."""
+    parts = merged({t: r for t, r in ((token[i:j], ranks.get(token[i:j])) for i in range(len(token)) for j in range(i + 1, len(token) + 1)) if r is not None and t != token}, token)
+    return (parts[0], parts[1]) if len(parts) == 2 else None
 
 
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.bytes, self.shorter, self.pattern = vocabulary.bytes, vocabulary.shorter, regex.compile(pattern)
+        self.vocabulary, self.bytes, self.shorter, self.pattern = vocabulary, vocabulary.bytes, vocabulary.shorter, regex.compile(pattern)
         self.ranks = {token: rank for rank, token in self.bytes.items()}
+        self.lengths = {rank: len(token) for rank, token in self.bytes.items()}
         self.automaton = ahocorasick.Automaton()
         for rank in self.shorter:
-            self.automaton.add_word(self.bytes[rank].decode("latin-1"), (rank, len(self.bytes[rank])))
+            self.automaton.add_word(self.bytes[rank].decode("latin-1"), (rank, self.lengths[rank]))
         self.automaton.make_automaton()
-        self.agree = lru_cache(PAIRS)(self._agree)
-        self.short = lru_cache(PIECES)(self._piece)
+        self.agreed: dict[int, bool] = {}
+        self.pieces: dict[str, tuple[int, ...] | list[int]] = {}
 
     def _agree(self, left: int, right: int) -> bool:
-        return merged(self.ranks, self.bytes[left] + self.bytes[right]) == [self.bytes[left], self.bytes[right]]
+        """Whether merging the bytes of two tokens together gives these two."""
+        if not self.vocabulary.ordered:
+            return merged(self.ranks, self.bytes[left] + self.bytes[right]) == [self.bytes[left], self.bytes[right]]
+        # what stands at the border on both sides, as ranks go by: the two must never be merged before one of them is merged away from it
+        a, b, i, j, never = self.vocabulary.last[left], self.vocabulary.first[right], 0, 0, len(self.ranks) + (1 << 30)
+        while True:
+            across = self.ranks.get(self.bytes[a[i]] + self.bytes[b[j]], never)
+            left_goes = a[i + 1] if i + 1 < len(a) else never
+            right_goes = b[j + 1] if j + 1 < len(b) else never
+            if across < left_goes and across <= right_goes and across < never:  # of equal ranks the left one is merged first
+                return False
+            if left_goes == right_goes == never:
+                return True
+            if left_goes <= right_goes:
+                i += 1
+            else:
+                j += 1
 
-    def _longest(self, piece: bytes) -> list[int]:
+    def _longest(self, piece: bytes) -> array:
         """The longest token that starts at each place; -1 where none does."""
         found = array("q", [-1]) * len(piece)
         for end, (token, n) in self.automaton.iter(piece.decode("latin-1")):
@@ -87,32 +123,49 @@ class Encoder:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        longest, failed = self._longest(piece), bytearray(len(piece) + 1)
-        taken, at = [], 0
-        token = longest[0]
-        while at < len(piece):
+        longest, failed, shorter, lengths, agreed = self._longest(piece), bytearray(len(piece) + 1), self.shorter, self.lengths, self.agreed
+        taken: list[int] = []
+        at, size, last, token = 0, len(piece), -1, longest[0]
+        while at < size:
             while token != -1:
-                end = at + len(self.bytes[token])
-                if not failed[end] and (not taken or self.agree(taken[-1], token)):
-                    break
-                token = self.shorter[token]
+                end = at + lengths[token]
+                if not failed[end]:
+                    if last == -1:
+                        break
+                    pair = last << 32 | token
+                    fits = agreed.get(pair)
+                    if fits is None:
+                        if len(agreed) >= PAIRS:
+                            agreed.clear()
+                        fits = agreed[pair] = self._agree(last, token)
+                    if fits:
+                        break
+                token = shorter[token]
             if token != -1:
                 taken.append(token)
-                at = end
-                token = longest[at] if at < len(piece) else -1
+                at, last = end, token
+                token = longest[at] if at < size else -1
             elif taken:
                 failed[at] = 1
                 token = taken.pop()
-                at -= len(self.bytes[token])
+                at -= lengths[token]
+                last = taken[-1] if taken else -1
             else:
                 raise ValueError("the vocabulary lacks a byte of the text")
         return taken
 
-    def encode(self, text: str) -> array:
-        ids = array("i")
-        for found in self.pattern.finditer(text):
-            piece = found.group().encode()
-            ids.extend(self.short(piece) if len(piece) <= SHORT else self._piece(piece))
+    def encode(self, text: str) -> list[int]:
+        ids: list[int] = []
+        known = self.pieces
+        for piece in self.pattern.findall(text) if len(text) <= WHOLE else (m.group() for m in self.pattern.finditer(text)):
+            found = known.get(piece)
+            if found is None:
+                found = self._piece(piece.encode())
+                if len(piece) <= SHORT:
+                    if len(known) >= PIECES:
+                        known.clear()
+                    known[piece] = found
+            ids += found
         return ids
 
 
@@ -121,11 +174,9 @@ def _with_column(df: DataFrame, name: str, kind: str) -> tuple[DataFrame, T.Stru
     return rest, T.StructType([*rest.schema.fields, *T.StructType.fromDDL(f"{name} {kind}").fields])
 
 
-def _lists(rows: list[array]) -> pa.ListArray:
-    values = array("i")
-    for r in rows:
-        values.extend(r)
-    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, rows))], pa.int32()), pa.array(np.frombuffer(values, dtype=np.int32)))
+def _lists(rows: list[list[int]]) -> pa.ListArray:
+    values = np.fromiter(chain.from_iterable(rows), np.int32, sum(map(len, rows)))
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, rows))], pa.int32()), pa.array(values))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", name: str = "ids") -> DataFrame:
@@ -156,7 +207,9 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", name: str = "decoded"
             step = max(1, batch.num_rows * SLICE // max(1, batch[ids_col].nbytes))
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                found = [b"".join(map(tokens.__getitem__, ids or ())) for ids in part[ids_col].to_pylist()]
+                ids, sizes = part[ids_col].flatten().to_pylist(), pc.fill_null(pc.list_value_length(part[ids_col]), 0).to_pylist()
+                ends = list(accumulate(sizes))
+                found = [b"".join(map(tokens.__getitem__, ids[end - n:end])) for n, end in zip(sizes, ends)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*part.schema.names, name])
 
     return rest.mapInArrow(run, schema)
