@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kithgraph.functions.text import normalise_text, token_signature
+from kithgraph.functions.text import non_empty, normalise_text, token_signature
 
 
 @F.pandas_udf(T.DoubleType())
@@ -29,4 +29,4 @@ def similarity(left: Column, right: Column) -> Column:
     """Better of the plain and the sorted-token ratio; 0 when either side is blank."""
     a, b = normalise_text(left), normalise_text(right)
     return F.when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(
-        F.greatest(ratio(a, b), ratio(token_signature(left), token_signature(right))))
+        F.greatest(ratio(a, b), ratio(non_empty(token_signature(left)), non_empty(token_signature(right)))))

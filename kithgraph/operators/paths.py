@@ -20,28 +20,28 @@ def enumerate_paths(edges: DataFrame, starts: DataFrame, target_labels: Sequence
     """Trails of 1..max_hops edges from each start to a node of a target label (or to ``target.id``).
 
     No edge is used twice in a trail; nodes may repeat.  ``candidates`` keeps that many trails per
-    start by (hops, edge path).  As fewer hops come first, a start that has its fill stops growing,
-    which is exact and keeps hubs from exploding.
+    start by (hops, edge path).  As fewer hops come first, a start that has its fill stops growing, and as a trail's
+    continuations go by edge id, a node only lends its first ``candidates`` + hops edges to a wanted label to a last
+    hop (a trail has used fewer than hops of them).  Both are exact and keep hubs from exploding.
     """
-    steps = undirected(edges.filter(F.col("rel").isin(*rels))).select(
-        "from_label", F.col("from_id").alias("target"), F.concat_ws("|", "src", "rel", "dst").alias("edge_id"), "rel", "seen_at", "to_id", "to_label")
+    steps = _steps(edges, rels)
     plan = useful_steps([e for e in edge_types if e[1] in rels], start_labels, target_labels if target is None else (), max_hops) \
         if edge_types and start_labels else None
     if candidates is not None:  # every hop reads the edges again, so they are written once
         used = steps if plan is None else steps.filter(step_filter({e for hop in plan for e in hop}))
         steps = cut_lineage(used)
-    frontier = starts.select(
-        F.col("id").alias("start"), F.col("id").alias("target"), F.lit(0).alias("hops"),
-        F.array("id").alias("node_ids"), F.array().cast("array<string>").alias("edge_ids"),
-        F.array().cast("array<struct<rel:string,seen_at:timestamp>>").alias("edges"))
+    last = steps.filter(label_filter("to_label", target_labels) if target is None else F.lit(True))
+    if target is not None:
+        last = last.join(target.select(F.col("id").alias("to_id")), "to_id", "left_semi")
+    if candidates is not None:
+        nearest = Window.partitionBy("target").orderBy("edge_id")
+        last = cut_lineage(last.withColumn("__n", F.row_number().over(nearest)).filter(F.col("__n") < candidates + max_hops).drop("__n"))
+    frontier = _origins(starts)
     order = Window.partitionBy("start").orderBy("hops", F.array_join("edge_ids", ">"))
     found: list[DataFrame] = []
     for hop in range(1, max_hops + 1):
-        wanted = label_filter("to_label", target_labels) if target is None else F.lit(True)
         usable = steps if plan is None else steps.filter(step_filter(plan[hop - 1]))
-        hits = _grow(frontier, usable.filter(wanted), hop)
-        if target is not None:
-            hits = hits.join(target.select(F.col("id").alias("target")), "target", "left_semi")
+        hits = _grow(frontier, last if plan is None else last.filter(step_filter(plan[hop - 1])), hop)
         if candidates is not None:
             # at most ``candidates`` rows per start are kept; the cut is taken before the shuffle as well
             hits = cut_lineage(hits.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= candidates).drop("__r"))
@@ -61,6 +61,48 @@ def enumerate_paths(edges: DataFrame, starts: DataFrame, target_labels: Sequence
     return out.withColumn("candidate", F.row_number().over(order)).filter(F.col("candidate") <= candidates)
 
 
+def _steps(edges: DataFrame, rels: Sequence[str]) -> DataFrame:
+    return undirected(edges.filter(F.col("rel").isin(*rels))).select(
+        "from_label", F.col("from_id").alias("target"), F.concat_ws("|", "src", "rel", "dst").alias("edge_id"), "rel", "seen_at", "to_id", "to_label")
+
+
+def _origins(ids: DataFrame) -> DataFrame:
+    return ids.select(F.col("id").alias("start"), F.col("id").alias("target"), F.lit(0).alias("hops"), F.array("id").alias("node_ids"),
+                      F.array().cast("array<string>").alias("edge_ids"), F.array().cast("array<struct<rel:string,seen_at:timestamp>>").alias("edges"))
+
+
+def paths_between(edges: DataFrame, pairs: DataFrame, rels: Sequence[str], max_hops: int = 4, candidates: int = 15) -> DataFrame:
+    """The first ``candidates`` trails, by (hops, edge path), of up to ``max_hops`` edges from ``start`` to ``target`` of each pair.
+
+    Trails grow from both ends and meet in the middle, so only half the hops are ever walked from a node.  They are
+    walked once for each start and each target, however many pairs it is in, and only as long as one of its pairs lacks trails.
+    """
+    steps = cut_lineage(_steps(edges, rels))
+    open_ = cut_lineage(pairs.select("start", "target").distinct())
+    ahead = {0: _origins(open_.select(F.col("start").alias("id")).distinct())}
+    behind = {0: _origins(open_.select(F.col("target").alias("id")).distinct())}
+    order = Window.partitionBy("start", "target").orderBy("hops", F.array_join("edge_ids", ">"))
+    found: list[DataFrame] = []
+    for hop in range(1, max_hops + 1):
+        a, b = (hop + 1) // 2, hop // 2
+        for side, n, ends in ((ahead, a, open_.select("start").distinct()), (behind, b, open_.select(F.col("target").alias("start")).distinct())):
+            if n not in side:
+                side[n] = cut_lineage(_grow(side[n - 1].join(ends, "start", "left_semi"), steps, n))
+        left = ahead[a].select("start", F.col("target").alias("middle"), F.col("node_ids").alias("nodes1"), F.col("edge_ids").alias("ids1"), F.col("edges").alias("edges1"))
+        right = behind[b].select(F.col("start").alias("target"), F.col("target").alias("middle"), F.col("node_ids").alias("nodes2"), F.col("edge_ids").alias("ids2"),
+                                 F.col("edges").alias("edges2"))
+        met = open_.join(left, "start").join(right, ["target", "middle"]).filter(~F.arrays_overlap("ids1", "ids2"))
+        hits = met.select("start", "target", F.lit(hop).alias("hops"), F.concat("nodes1", F.slice(F.reverse("nodes2"), 2, max_hops + 1)).alias("node_ids"),
+                          F.concat("ids1", F.reverse("ids2")).alias("edge_ids"), F.concat("edges1", F.reverse("edges2")).alias("edges"))
+        found.append(cut_lineage(hits.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= candidates).drop("__r")))
+        if hop < max_hops:
+            full = (reduce(DataFrame.unionByName, found).groupBy("start", "target").agg(F.count("*").alias("n")).filter(F.col("n") >= candidates))
+            open_ = cut_lineage(open_.join(full, ["start", "target"], "left_anti"))
+            if open_.isEmpty():
+                break
+    return reduce(DataFrame.unionByName, found).withColumn("candidate", F.row_number().over(order)).filter(F.col("candidate") <= candidates)
+
+
 def _grow(frontier: DataFrame, steps: DataFrame, hop: int) -> DataFrame:
     """Trails one edge longer."""
     return (frontier.join(steps.drop("from_label", "to_label"), "target").filter(~F.array_contains("edge_ids", F.col("edge_id")))
@@ -70,7 +112,7 @@ def _grow(frontier: DataFrame, steps: DataFrame, hop: int) -> DataFrame:
 
 def with_features(paths: DataFrame, nodes: DataFrame, as_of: Column) -> DataFrame:
     """Attach the feature map of each path; a path has at most a handful of nodes."""
-    keyed = paths.withColumn("path_id", F.concat_ws(">", "start", F.array_join("edge_ids", ">")))
+    keyed = paths.withColumn("path_id", F.concat_ws(">", "start", "target", F.array_join("edge_ids", ">")))
     cells = (keyed.select("path_id", F.posexplode("node_ids").alias("pos", "id"))
              .join(nodes.select("id", "sentiment_score", "influence_score", "due_date"), "id", "left"))
     gathered = cells.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct(
@@ -84,8 +126,21 @@ def ranked_paths(edges: DataFrame, nodes: DataFrame, starts: DataFrame, target_l
                  rels: Sequence[str], policy: pol.Policy, as_of: Column, limit: int = 3, max_hops: int = 4,
                  target: DataFrame | None = None, **schema) -> DataFrame:
     """Best paths per start by policy score; candidates are taken first, then ranked."""
-    candidates = max(limit * 5, 10)
-    paths = enumerate_paths(edges, starts, target_labels, rels, max_hops, candidates, target, **schema)
+    paths = enumerate_paths(edges, starts, target_labels, rels, max_hops, _pool(limit), target, **schema)
+    return _best(paths, nodes, policy, as_of, limit, "start")
+
+
+def ranked_paths_between(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, rels: Sequence[str], policy: pol.Policy, as_of: Column,
+                         limit: int = 3, max_hops: int = 4) -> DataFrame:
+    """Best paths of each (start, target) pair by policy score."""
+    return _best(paths_between(edges, pairs, rels, max_hops, _pool(limit)), nodes, policy, as_of, limit, "start", "target")
+
+
+def _pool(limit: int) -> int:
+    return max(limit * 5, 10)
+
+
+def _best(paths: DataFrame, nodes: DataFrame, policy: pol.Policy, as_of: Column, limit: int, *keys: str) -> DataFrame:
     scored = pol.evaluate(with_features(paths, nodes, as_of), policy)
-    order = Window.partitionBy("start").orderBy(F.desc("score"), "candidate")
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "candidate")
     return scored.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)

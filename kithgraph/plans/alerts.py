@@ -343,25 +343,65 @@ def sample_keys(g: Graph) -> DataFrame:
 
 # --- paths ------------------------------------------------------------------------------
 
-PATHS_SQL = """,
+# What a path's policy reads, worked out from lists of a path's nodes, relationships and times.
+SCORED_SQL = """
+cells AS (SELECT key, unnest(nodes) AS id, generate_subscripts(nodes, 1) AS pos FROM cand),
+seen AS (SELECT key, max(coalesce(influence_score, 0.0)) AS influence,
+    max(greatest(0.0, coalesce((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(due_date::TIMESTAMP)) / 86400000000.0, 0.0))) AS age,
+    list(sentiment_score ORDER BY pos) FILTER (sentiment_score IS NOT NULL) AS moods FROM cells JOIN nodes USING (id) GROUP BY key),
+feats AS (SELECT c.*, influence, age, CASE WHEN len(moods) >= 2 THEN (moods[-1] - moods[1]) / (len(moods) - 1) ELSE 0.0 END AS slope,
+    coalesce(list_avg(list_transform(list_filter(times, lambda t: t IS NOT NULL), lambda t: 1.0 / (1.0 + greatest(0.0, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(t)) / 86400000000.0)))), 0.5) AS recency,
+    len(list_filter(rels, lambda r: r = 'MADE')) / hops::DOUBLE AS made_share FROM cand c JOIN seen USING (key)),
+scored AS (SELECT *, 1.0 / (1.0 + exp(-(-0.4 + 0.15 * hops + 0.8 * recency - 0.5 * slope + 0.001 * age + 0.6 * influence + 0.3 * made_share))) AS score FROM feats)
+"""
+
+
+def _paths_sql() -> str:
+    """Trails hop by hop; starts that have 15 grow no further."""
+    parts = [""",
 steps AS (SELECT *, src||'|'||rel||'|'||dst AS eid FROM undirected WHERE rel <> 'INSTANCE_OF'),
 wanted AS (SELECT unnest(['Risk','Issue','Commitment','Project','Contract','Topic','Person','Org']) AS l),
-h1 AS (SELECT from_id AS start, to_id AS n1, to_label AS l1, eid AS e1, rel AS r1, seen_at AS s1 FROM steps WHERE from_label = 'Person'),
-c1 AS (SELECT * FROM h1 WHERE l1 IN (SELECT l FROM wanted)),
-lack AS (SELECT p.id FROM person p LEFT JOIN c1 ON c1.start = p.id GROUP BY 1 HAVING count(c1.e1) < 15),
-h2 AS (SELECT h1.*, s.to_id AS n2, s.eid AS e2, s.rel AS r2, s.seen_at AS s2 FROM h1 JOIN steps s ON s.from_id = h1.n1 AND s.eid <> h1.e1
-       WHERE h1.start IN (SELECT id FROM lack) AND s.to_label IN (SELECT l FROM wanted)),
-every AS (SELECT start, n1 AS target, 1 AS hops, e1 AS path, n1, NULL AS n2, r1, NULL AS r2, s1, NULL::TIMESTAMP AS s2 FROM c1
-          UNION ALL SELECT start, n2, 2, e1||'>'||e2, n1, n2, r1, r2, s1, s2 FROM h2),
-cand AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops, path) AS candidate FROM every QUALIFY candidate <= 15),
-aged AS (SELECT c.*, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(s1)) / 86400000000.0 AS a1, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(s2)) / 86400000000.0 AS a2,
-    greatest(coalesce(w0.influence_score, 0.0), coalesce(w1.influence_score, 0.0), coalesce(w2.influence_score, 0.0)) AS influence,
-    greatest(0.0, coalesce((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(w1.due_date::TIMESTAMP)) / 86400000000.0, 0.0), coalesce((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(w2.due_date::TIMESTAMP)) / 86400000000.0, 0.0)) AS age
-  FROM cand c LEFT JOIN nodes w0 ON w0.id = c.start LEFT JOIN nodes w1 ON w1.id = c.n1 LEFT JOIN nodes w2 ON w2.id = c.n2),
-feats AS (SELECT *, CASE WHEN a1 IS NULL AND a2 IS NULL THEN 0.5 ELSE (CASE WHEN a1 IS NULL THEN 0.0 ELSE 1.0/(1.0+greatest(0.0,a1)) END + CASE WHEN a2 IS NULL THEN 0.0 ELSE 1.0/(1.0+greatest(0.0,a2)) END) / ((a1 IS NOT NULL)::INT + (a2 IS NOT NULL)::INT) END AS recency,
-    ((r1 = 'MADE')::INT + coalesce((r2 = 'MADE')::INT, 0)) / hops::DOUBLE AS made_share FROM aged),
-scored AS (SELECT *, 1.0 / (1.0 + exp(-(-0.4 + 0.15 * hops + 0.8 * recency + 0.001 * age + 0.6 * influence + 0.3 * made_share))) AS score FROM feats)
-"""
+g0 AS (SELECT id AS start, id AS target, label, []::VARCHAR[] AS eids, [id] AS nodes, []::VARCHAR[] AS rels, []::TIMESTAMP[] AS times FROM nodes WHERE label IN ('Person', 'Org', 'Project')),
+l0 AS (SELECT start FROM g0)"""]
+    for h in range(1, 5):
+        done = " UNION ALL ".join(f"SELECT start FROM t{i}" for i in range(1, h + 1))
+        parts.append(f"""g{h} AS MATERIALIZED (SELECT g.start, s.to_id AS target, s.to_label AS label, list_append(eids, eid) AS eids, list_append(g.nodes, s.to_id) AS nodes,
+    list_append(rels, s.rel) AS rels, list_append(times, s.seen_at) AS times
+  FROM g{h - 1} g JOIN steps s ON s.from_id = g.target WHERE g.start IN (SELECT start FROM l{h - 1}) AND NOT list_contains(eids, eid)),
+t{h} AS (SELECT *, {h} AS hops, array_to_string(eids, '>') AS path FROM g{h} WHERE label IN (SELECT l FROM wanted)),
+l{h} AS (SELECT g0.start FROM g0 LEFT JOIN ({done}) d ON d.start = g0.start GROUP BY 1 HAVING count(d.start) < 15)""")
+    parts.append("""cand AS (SELECT *, start||'>'||path AS key, row_number() OVER (PARTITION BY start ORDER BY hops, path) AS candidate
+  FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3 UNION ALL SELECT * FROM t4) QUALIFY candidate <= 15)""")
+    return ",\n".join(parts) + "," + SCORED_SQL
+
+
+PATHS_SQL = _paths_sql()
+
+# Purchases name a customer and, by their number, a project.
+BETWEEN_SQL = """,
+steps AS (SELECT *, src||'|'||rel||'|'||dst AS eid FROM undirected WHERE rel <> 'INSTANCE_OF'),
+pairs AS (SELECT DISTINCT 'person:'||user_id AS start, 'project:'||event_id AS target FROM events WHERE event_type = 'purchase'),
+f1 AS (SELECT from_id AS a, to_id AS z, [eid] AS eids, [from_id, to_id] AS nodes, [rel] AS rels, [seen_at] AS times FROM steps WHERE from_id IN (SELECT start FROM pairs)),
+b1 AS (SELECT from_id AS a, to_id AS z, [eid] AS eids, [to_id, from_id] AS nodes, [rel] AS rels, [seen_at] AS times FROM steps WHERE from_id IN (SELECT target FROM pairs)),
+t1 AS (SELECT p.start, p.target, 1 AS hops, f.eids, f.nodes, f.rels, f.times FROM pairs p JOIN f1 f ON f.a = p.start AND f.z = p.target),
+t2 AS (SELECT p.start, p.target, 2, f.eids || b.eids, f.nodes || b.nodes[2:], f.rels || b.rels, f.times || b.times
+       FROM pairs p JOIN f1 f ON f.a = p.start JOIN b1 b ON b.a = p.target AND b.z = f.z WHERE f.eids[1] <> b.eids[1]),
+l2 AS (SELECT p.start, p.target FROM pairs p LEFT JOIN (SELECT start, target FROM t1 UNION ALL SELECT start, target FROM t2) d USING (start, target)
+       GROUP BY ALL HAVING count(d.start) < 15),
+f2 AS MATERIALIZED (SELECT f.a, s.to_id AS z, list_append(eids, eid) AS eids, list_append(f.nodes, s.to_id) AS nodes, list_append(rels, s.rel) AS rels, list_append(times, s.seen_at) AS times
+       FROM f1 f JOIN steps s ON s.from_id = f.z WHERE f.a IN (SELECT start FROM l2) AND s.eid <> f.eids[1]),
+t3 AS (SELECT p.start, p.target, 3, f.eids || b.eids, f.nodes || b.nodes[2:], f.rels || b.rels, f.times || b.times
+       FROM l2 p JOIN f2 f ON f.a = p.start JOIN b1 b ON b.a = p.target AND b.z = f.z WHERE NOT list_contains(f.eids, b.eids[1])),
+n3 AS (SELECT start, target FROM t1 UNION ALL SELECT start, target FROM t2 UNION ALL SELECT start, target FROM t3),
+l3 AS (SELECT p.start, p.target FROM pairs p LEFT JOIN n3 d USING (start, target) GROUP BY ALL HAVING count(d.start) < 15),
+b2 AS (SELECT b.a, s.to_id AS z, list_prepend(eid, eids) AS eids, list_prepend(s.to_id, b.nodes) AS nodes, list_prepend(s.rel, rels) AS rels, list_prepend(s.seen_at, times) AS times
+       FROM b1 b JOIN steps s ON s.from_id = b.z WHERE b.a IN (SELECT target FROM l3) AND s.eid <> b.eids[1]),
+t4 AS (SELECT p.start, p.target, 4, f.eids || b.eids, f.nodes || b.nodes[2:], f.rels || b.rels, f.times || b.times
+       FROM l3 p JOIN f2 f ON f.a = p.start JOIN b2 b ON b.a = p.target AND b.z = f.z WHERE NOT list_has_any(f.eids, b.eids)),
+cand AS (SELECT *, start||'>'||target||'>'||path AS key, row_number() OVER (PARTITION BY start, target ORDER BY hops, path) AS candidate
+  FROM (SELECT *, array_to_string(eids, '>') AS path FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3 UNION ALL SELECT * FROM t4)) QUALIFY candidate <= 15),""" + SCORED_SQL
+
+PATH_STARTS = ("Person", "Org", "Project")
 
 
 def path_arguments() -> tuple[list[str], list[str]]:
@@ -369,35 +409,52 @@ def path_arguments() -> tuple[list[str], list[str]]:
     return [label for role in model.PATH_TARGET_ROLES for label in groups[role]], model.reasoning_relationships()
 
 
+def path_starts(g: Graph) -> DataFrame:
+    return g.nodes.filter(F.col("label").isin(*PATH_STARTS)).select("id")
+
+
+def best_paths(g: Graph) -> DataFrame:
+    targets_, rels = path_arguments()
+    return paths.ranked_paths(g.edges, g.nodes, path_starts(g), targets_, rels, TRAINED, as_of(), start_labels=PATH_STARTS, edge_types=EDGE_TYPES)
+
+
 @query("r08_ranked_paths", sql=PATHS_SQL + """
 SELECT start, target, hops::BIGINT AS hops, round(score, 6) AS score, position::BIGINT AS position FROM (
   SELECT *, row_number() OVER (PARTITION BY start ORDER BY score DESC, candidate) AS position FROM scored) WHERE position <= 3""")
 def ranked_paths(g: Graph) -> DataFrame:
-    targets_, rels = path_arguments()
-    best = paths.ranked_paths(g.edges, g.nodes, g.persons.select("id"), targets_, rels, TRAINED, as_of(),
-                             start_labels=["Person"], edge_types=EDGE_TYPES)
+    """The best paths of every stakeholder, organisation and project."""
+    return best_paths(g).select("start", "target", F.col("hops").cast("bigint").alias("hops"), F.round("score", 6).alias("score"),
+                                F.col("position").cast("bigint").alias("position"))
+
+
+@query("r08_paths_to_target", sql=BETWEEN_SQL + """
+SELECT start, target, hops::BIGINT AS hops, round(score, 6) AS score, position::BIGINT AS position FROM (
+  SELECT *, row_number() OVER (PARTITION BY start, target ORDER BY score DESC, candidate) AS position FROM scored) WHERE position <= 3""")
+def ranked_paths_to_target(g: Graph) -> DataFrame:
+    """The best paths from the customer of a purchase to the project it names."""
+    pairs = g.table("events").filter(F.col("event_type") == "purchase").select(
+        F.concat(F.lit("person:"), "user_id").alias("start"), F.concat(F.lit("project:"), "event_id").alias("target"))
+    best = paths.ranked_paths_between(g.edges, g.nodes, pairs, path_arguments()[1], TRAINED, as_of())
     return best.select("start", "target", F.col("hops").cast("bigint").alias("hops"), F.round("score", 6).alias("score"),
                        F.col("position").cast("bigint").alias("position"))
 
 
 @query("l05_top_paths", sql=PATHS_SQL + """
-SELECT hops::BIGINT AS hops, count(*)::BIGINT AS n, round(max(score), 6) AS best FROM (
-  SELECT *, row_number() OVER (PARTITION BY start ORDER BY score DESC, candidate) AS position FROM scored) WHERE position <= 1 GROUP BY 1""")
+SELECT split_part(start, ':', 1) AS kind, hops::BIGINT AS hops, count(*)::BIGINT AS n, round(max(score), 6) AS best FROM (
+  SELECT *, row_number() OVER (PARTITION BY start ORDER BY score DESC, candidate) AS position FROM scored) WHERE position <= 1 GROUP BY ALL""")
 def top_paths(g: Graph) -> DataFrame:
-    """The best path of every person; limit 3 takes the candidates, rank 1 is reported."""
-    targets_, rels = path_arguments()
-    best = paths.ranked_paths(g.edges, g.nodes, g.persons.select("id"), targets_, rels, TRAINED, as_of(),
-                             start_labels=["Person"], edge_types=EDGE_TYPES)
-    return best.filter(F.col("position") == 1).groupBy(F.col("hops").cast("bigint").alias("hops")).agg(
+    """The best path of every start; limit 3 takes the candidates, rank 1 is reported."""
+    kind = F.substring_index("start", ":", 1).alias("kind")
+    return best_paths(g).filter(F.col("position") == 1).groupBy(kind, F.col("hops").cast("bigint").alias("hops")).agg(
         F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
 
 
 @query("a11_path_features", sql=PATHS_SQL + """
 SELECT start, path, round(recency, 6) AS recency, round(age, 4) AS commitment_age, round(influence, 6) AS influence_centrality,
-       hops::DOUBLE AS path_length, 0.0::DOUBLE AS sentiment_slope FROM feats""")
+       hops::DOUBLE AS path_length, round(slope, 6)::DOUBLE AS sentiment_slope FROM feats""")
 def path_features(g: Graph) -> DataFrame:
     targets_, rels = path_arguments()
-    found = paths.enumerate_paths(g.edges, g.persons.select("id"), targets_, rels, 4, 15, start_labels=["Person"], edge_types=EDGE_TYPES)
+    found = paths.enumerate_paths(g.edges, path_starts(g), targets_, rels, 4, 15, start_labels=PATH_STARTS, edge_types=EDGE_TYPES)
     rows = paths.with_features(found, g.nodes, as_of())
     return rows.select("start", F.array_join("edge_ids", ">").alias("path"), *[
         F.round(F.element_at("features", k), digits).alias(k) for k, digits in

@@ -10,6 +10,7 @@ from kithgraph.functions.values import is_closed, is_primary, role_type
 from kithgraph.operators import alerts as alert_ops
 from kithgraph.operators import paths
 from kithgraph.operators import traversal as t
+from kithgraph.plans.alerts import PATH_STARTS, PATHS_SQL, path_arguments, path_starts
 from kithgraph.plans.registry import query
 from kithgraph.sources.graph import EDGE_TYPES, Graph
 
@@ -157,20 +158,13 @@ def scope_members(g: Graph) -> DataFrame:
     return t.scope_members(nodes, g.edges, "Org", "org_id").groupBy("scope_id", "label").agg(F.count("*").alias("n"))
 
 
-@query("j18_reasoning_paths", sql=""",
-trails AS (
-  SELECT 'org-person-commitment' AS kind, p.org_id AS start, c.id AS target, 2 AS hops FROM person p JOIN commitment c ON c.owner_id = p.id
-  UNION ALL SELECT 'org-person', org_id, id, 1 FROM person
-  UNION ALL SELECT 'org-contract', org_id, id, 1 FROM contract
-  UNION ALL SELECT 'org-person-project', p.org_id, i.dst, 2 FROM involved_in i JOIN person p ON p.id = i.src)
-SELECT start, hops::BIGINT AS hops, count(*)::BIGINT AS n_paths, count(DISTINCT target)::BIGINT AS n_targets FROM trails GROUP BY ALL""")
+@query("j18_reasoning_paths", sql=PATHS_SQL + "SELECT start, target, hops::BIGINT AS hops, path, candidate::BIGINT AS candidate FROM cand")
 def reasoning_paths(g: Graph) -> DataFrame:
-    rels = model.reasoning_relationships()
-    targets = [label for role in model.PATH_TARGET_ROLES for label in model.label_groups()[role]]
-    found = paths.enumerate_paths(g.edges, g.orgs.select("id"), targets, rels, max_hops=2, start_labels=["Org"], edge_types=EDGE_TYPES)
-    per_target = found.groupBy("start", "hops", "target").agg(F.count("*").alias("n"))
-    return per_target.groupBy("start", F.col("hops").cast("bigint").alias("hops")).agg(
-        F.sum("n").alias("n_paths"), F.count("*").alias("n_targets"))
+    """The first trails of up to four hops from every stakeholder, organisation and project, as many as a ranking takes in."""
+    targets, rels = path_arguments()
+    found = paths.enumerate_paths(g.edges, path_starts(g), targets, rels, 4, 15, start_labels=PATH_STARTS, edge_types=EDGE_TYPES)
+    return found.select("start", "target", F.col("hops").cast("bigint").alias("hops"), F.array_join("edge_ids", ">").alias("path"),
+                        F.col("candidate").cast("bigint").alias("candidate"))
 
 
 @query("a01_distinct_collection", sql="""

@@ -12,17 +12,18 @@ from kithgraph.sources.graph import Graph
 
 # Mentions: every organisation in lower case, half of them with a domain; the user of every event,
 # purchases naming the organisation mention; every project name in upper case.
-# Names here are NATION_<digits>, so the similarity of two of them follows from the digits.
+# Names here are NATION_<digits>, so the similarity of two of them follows from the digits.  An equal domain also counts as
+# the mention's own context (0.15), and so does the organisation of a person (0.25).
 RESOLVE_SQL = """,
 om AS (SELECT 'tmp:'||o.id AS temp_id, lower(o.name) AS name, CASE WHEN o.concept_id < 'concept:3' THEN md5(o.name)||'.com' END AS domain, split_part(o.name, '_', 2) AS d FROM org o),
 oc AS (SELECT id, lower(name) AS name, md5(name)||'.com' AS domain, split_part(name, '_', 2) AS d FROM org),
 op AS (SELECT temp_id, oc.id, 2.0 * (7 + CASE WHEN om.d = oc.d THEN length(om.d) WHEN contains(oc.d, om.d[1]) OR contains(oc.d, om.d[-1]) THEN 1 ELSE 0 END) / (length(om.name) + length(oc.name)) AS raw_sim,
   CASE WHEN om.domain = oc.domain THEN 1.0 ELSE 0.0 END AS domain_sim FROM om, oc),
 os AS (SELECT *, CASE WHEN raw_sim >= 0.85 THEN raw_sim ELSE 0.0 END AS name_sim FROM op),
-oscore AS (SELECT temp_id, id, name_sim, domain_sim, 0.9 * name_sim + domain_sim AS score FROM os WHERE name_sim > 0 OR domain_sim > 0),
+oscore AS (SELECT temp_id, id, name_sim, domain_sim, 0.9 * name_sim + 1.15 * domain_sim AS score FROM os WHERE name_sim > 0 OR domain_sim > 0),
 orank AS (SELECT *, row_number() OVER (PARTITION BY temp_id ORDER BY round(score, 9) DESC, id) AS position FROM oscore WHERE score >= 0.5 QUALIFY position <= 4),
 odec AS (SELECT 'org' AS category, temp_id, max(score) AS confidence, arg_min(id, position) AS best, max(score) FILTER (position = 2) AS second FROM orank GROUP BY temp_id),
-pm AS (SELECT 'tmp:'||i.id AS temp_id, p.id AS person_id, CASE WHEN i.type = 'purchase' THEN 0.92 ELSE 0.6 END AS confidence FROM interaction i JOIN person p ON p.id = i.person_id),
+pm AS (SELECT 'tmp:'||i.id AS temp_id, p.id AS person_id, CASE WHEN i.type = 'purchase' THEN 1.17 ELSE 0.6 END AS confidence, CASE WHEN i.type = 'purchase' THEN 0.92 ELSE 0.6 END AS base FROM interaction i JOIN person p ON p.id = i.person_id),
 jm AS (SELECT 'tmp:'||pr.id AS temp_id, min(c.id) AS best, count(*) AS n FROM project pr JOIN project c ON c.name = pr.name GROUP BY 1),
 dec AS (SELECT category, temp_id, confidence, best, CASE WHEN confidence >= 0.9 AND confidence - second <= 0.1 THEN 'multi_resolved' WHEN confidence >= 0.9 THEN 'resolved' ELSE 'new' END AS status FROM odec
   UNION ALL SELECT 'person', temp_id, confidence, person_id, CASE WHEN confidence >= 0.9 THEN 'resolved' ELSE 'new' END FROM pm
@@ -49,6 +50,10 @@ def person_mentions(g: Graph) -> DataFrame:
                        F.when(F.col("type") == "purchase", F.concat(F.lit("tmp:"), "org_id")).alias("org_id"))
 
 
+def rewritten_person_mentions(g: Graph) -> DataFrame:
+    return ops.rewrite(person_mentions(g), g.orgs.select(F.concat(F.lit("tmp:"), "id").alias("temp_id"), F.col("id").alias("canonical_id")), ["org_id"])
+
+
 def person_candidates(g: Graph) -> DataFrame:
     return g.persons.select("id", "name", "org_id")
 
@@ -79,69 +84,79 @@ def name_similarity(g: Graph) -> DataFrame:
                                   F.round(similarity(name, F.concat(name, F.lit("x"))), 6).alias("longer"))
 
 
-@query("j10_org_candidates", sql=RESOLVE_SQL + "SELECT temp_id, id FROM op")
+@query("j10_org_candidates", sql=RESOLVE_SQL + "SELECT temp_id, id, (SELECT count(*) FROM org)::BIGINT AS n_offered FROM os WHERE name_sim > 0 OR domain_sim > 0")
 def j10(g: Graph) -> DataFrame:
-    m, c = ops.profiles(org_mentions(g)), ops.signatures(org_candidates(g))
-    pairs = ops.candidate_pairs(m, c, "org")
-    return pairs.join(m.select("profile", "temp_id"), "profile").join(c.select("signature", "id"), "signature").select("temp_id", "id")
+    """Every organisation is offered to a mention; the rows are those that carry a signal."""
+    m, c = ops.sides(org_mentions(g), org_candidates(g))
+    pairs = ops.paired(m, c, "org")
+    offered = g.orgs.agg(F.count("*").alias("n_offered"))
+    return pairs.join(m.select("profile", "temp_id"), "profile").join(c.select("signature", "id"), "signature").select("temp_id", "id").join(F.broadcast(offered))
 
 
 @query("j11_person_candidates", sql=RESOLVE_SQL + "SELECT temp_id, person_id AS id FROM pm")
 def j11(g: Graph) -> DataFrame:
-    m, c = ops.profiles(person_mentions(g)), ops.signatures(person_candidates(g))
-    pairs = ops.candidate_pairs(m, c, "person")
+    m, c = ops.sides(person_mentions(g), person_candidates(g))
+    pairs = ops.paired(m, c, "person")
     return pairs.join(m.select("profile", "temp_id"), "profile").join(c.select("signature", "id"), "signature").select("temp_id", "id")
 
 
 @query("j12_project_candidates", sql="SELECT lower(p_name) AS name, count(*)::BIGINT AS n_candidates, min('project:'||p_partkey) AS first_id FROM part GROUP BY 1", graph=False)
 def j12(g: Graph) -> DataFrame:
     """Candidates per distinct project mention; equal mentions share one profile."""
-    m, c = ops.profiles(project_mentions(g).drop("temp_id")), ops.signatures(g.projects.select("id", "name"))
-    pairs = ops.candidate_pairs(m, c, "project").join(m.select("profile", F.lower("name").alias("low")).distinct(), "profile")
+    m, c = ops.sides(project_mentions(g).drop("temp_id"), g.projects.select("id", "name"))
+    pairs = ops.paired(m, c, "project").join(m.select("profile", F.lower("name").alias("low")).distinct(), "profile")
     return pairs.join(c.select("signature", "id"), "signature").groupBy(F.col("low").alias("name")).agg(
         F.count("*").alias("n_candidates"), F.min("id").alias("first_id"))
 
 
 @query("e01_field_similarity", sql=RESOLVE_SQL + "SELECT temp_id, id, round(name_sim, 6) AS name_sim, round(domain_sim, 6) AS domain_sim FROM os WHERE name_sim > 0 OR domain_sim > 0")
 def e01(g: Graph) -> DataFrame:
-    m, c = ops.profiles(org_mentions(g)), ops.signatures(org_candidates(g))
-    scored = ops.scored_pairs(ops.candidate_pairs(m, c, "org"), m, c, "org")
+    m, c = ops.sides(org_mentions(g), org_candidates(g))
+    scored = ops.scored_pairs(ops.paired(m, c, "org"), m, c, "org")
     rows = scored.join(m.select("profile", "temp_id"), "profile").join(c.select("signature", "id"), "signature")
     return rows.select("temp_id", "id", F.round("name_sim", 6).alias("name_sim"), F.round("domain_sim", 6).alias("domain_sim"))
 
 
 @query("e02_candidate_scores", sql=RESOLVE_SQL + """
-SELECT temp_id, person_id AS id, confidence::DOUBLE AS score, CASE WHEN confidence > 0.9 THEN 'name_org' ELSE 'name' END AS matched FROM pm""")
+SELECT temp_id, person_id AS id, base::DOUBLE AS score, CASE WHEN base > 0.9 THEN 'name_org' ELSE 'name' END AS matched FROM pm""")
 def e02(g: Graph) -> DataFrame:
-    mentions = ops.rewrite(person_mentions(g), g.orgs.select(F.concat(F.lit("tmp:"), "id").alias("temp_id"), F.col("id").alias("canonical_id")), ["org_id"])
-    m, c = ops.profiles(mentions), ops.signatures(person_candidates(g))
-    scored = ops.scored_pairs(ops.candidate_pairs(m, c, "person"), m, c, "person")
+    m, c = ops.sides(rewritten_person_mentions(g), person_candidates(g))
+    scored = ops.scored_pairs(ops.paired(m, c, "person"), m, c, "person")
     rows = m.select("profile", "temp_id").join(scored, "profile").join(c.select("signature", "id"), "signature")
     return rows.select("temp_id", "id", F.round("base_score", 6).alias("score"), F.array_join("matched_fields", ",").alias("matched"))
 
 
 @query("e03_context_bonus", sql=RESOLVE_SQL + """,
-ctx AS (SELECT m.temp_id, m.person_id, bool_or(o.value = 'project:'||l.l_partkey) AS hit FROM pm m JOIN (SELECT 'tmp:interaction:'||event_id AS temp_id, 'project:'||event_id AS value FROM events) o USING (temp_id)
-  JOIN orders ON 'person:'||o_custkey = m.person_id JOIN lineitem l ON l_orderkey = o_orderkey GROUP BY ALL)
-SELECT temp_id, person_id AS id, 0.25::DOUBLE AS bonus FROM ctx WHERE hit""")
+ctx AS (SELECT m.temp_id, m.person_id, any_value(m.base) AS base, coalesce(bool_or('project:'||l.l_partkey = 'project:'||e.event_id), false) AS hit
+  FROM pm m JOIN events e ON m.temp_id = 'tmp:interaction:'||e.event_id
+  LEFT JOIN orders ON 'person:'||o_custkey = m.person_id LEFT JOIN lineitem l ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT temp_id, person_id AS id, (0.25 * hit::INT + 0.25 * (base > 0.9)::INT)::DOUBLE AS bonus, concat_ws(',', CASE WHEN base > 0.9 THEN 'org' END, CASE WHEN hit THEN 'project' END) AS kinds
+FROM ctx WHERE hit OR base > 0.9""")
 def e03(g: Graph) -> DataFrame:
-    """Each event's context names one project; a person involved in it gets the project bonus.
+    """Each event's context names one project, and its person's own organisation is context too where it is named.
 
-    Thresholds are set to equality so that the check can be an equality too.
+    A person involved in the project, or of the organisation, gets its bonus.  Thresholds are set to equality so that the check can
+    be an equality too.
     """
     equal = {"person": {f"{k}_similarity": 1.0 for k in ("name", "org", "email", "phone", "domain", "project", "document", "location")}}
-    mentions = person_mentions(g).withColumn("context_id", F.col("temp_id"))
+    mentions = rewritten_person_mentions(g).withColumn("context_id", F.col("temp_id"))
     context = mentions.select("context_id", F.lit("project").alias("kind"), F.regexp_replace("context_id", "^tmp:interaction:", "project:").alias("value"))
     offered = g.involved_in.select(F.col("src").alias("id"), F.lit("project").alias("kind"), F.col("dst").alias("value"))
-    m, c = ops.profiles(mentions), ops.signatures(person_candidates(g))
-    hits = ops.context_hits(ops.candidate_pairs(m, c, "person"), m, c, context, offered, "person", equal)
-    return hits.join(m.select("profile", "temp_id"), "profile").select("temp_id", "id", "bonus")
+    m, c = ops.sides(mentions, person_candidates(g))
+    hits = ops.context_hits(ops.paired(m, c, "person", equal), ops.own_context(m, context), ops.offered_context(c, offered), "person", equal)
+    # a null id speaks for all persons of the signature
+    each = hits.join(c.select("signature", F.col("id").alias("of")), "signature").filter("id IS NULL OR id = of")
+    kinds = each.groupBy("profile", "of").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"))
+    return kinds.join(m.select("profile", "temp_id"), "profile").select("temp_id", F.col("of").alias("id"), F.round(ops.bonus(F.col("kinds"), "person"), 6).alias("bonus"),
+                                                                        F.array_join("kinds", ",").alias("kinds"))
 
 
 @query("w08_candidate_ranking", sql=RESOLVE_SQL + "SELECT temp_id, id, round(score, 6) AS score, position::BIGINT AS position FROM orank")
 def w08(g: Graph) -> DataFrame:
-    m, c = ops.profiles(org_mentions(g)), ops.signatures(org_candidates(g))
-    ranked = ops.ranked_candidates(ops.scored_pairs(ops.candidate_pairs(m, c, "org"), m, c, "org"), c)
+    m, c = ops.sides(org_mentions(g), org_candidates(g))
+    asked, offered = ops.own_context(m, None), ops.offered_context(c, None)
+    pairs = ops.paired(m, c, "org", asked=asked, offered=offered, kinds=("org", "domain"))
+    ranked = ops.ranked_candidates(ops.scored_pairs(pairs, m, c, "org"), c, "org", ops.context_hits(pairs, asked, offered, "org"))
     return ranked.join(m.select("profile", "temp_id"), "profile").select("temp_id", "id", F.round("score", 6).alias("score"),
                                                                          F.col("position").cast("bigint").alias("position"))
 
