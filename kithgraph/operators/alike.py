@@ -34,44 +34,35 @@ def sorted_tokens(c: Column) -> Column:
 FORMS = (plain, sorted_tokens)
 
 
-def bag(c: Column) -> Column:
-    """Letters of a text with their running counts, high counts first: a set that stands for the multiset."""
-    letters = F.array_sort(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)))
-    numbered = F.transform(letters, lambda x, i: F.struct((i - F.array_position(letters, x) + 2).alias("n"), x.alias("letter")))
-    return F.transform(F.sort_array(numbered, asc=False), lambda t: F.concat(t["n"].cast("string"), t["letter"]))
+#: Letters of a text with their running counts, high counts first: a set that stands for the multiset.
+BAG = "transform(sort_array(transform(letters, (x, i) -> struct(i - array_position(letters, x) + 2 AS n, x AS letter)), false), t -> concat(t.n, t.letter))"
 
 
-def possible(left: Column, right: Column, least: Column) -> Column:
-    """Whether two texts could reach a ratio; never null.
+def possible(a: str, b: str, least: str) -> Column:
+    """Whether two texts could reach a ratio; never null.  The arguments are SQL.
 
-    What a ratio leaves unmatched must be taken out on both sides, which is never less than the edit distance.  Very long
-    texts are judged by their common letters instead, which takes no time in proportion to both lengths.
+    What a ratio leaves unmatched must be taken out on both sides, which is never less than the edit distance.  Of very long
+    texts only the lengths are judged.
     """
-    both = F.length(left) + F.length(right)
-    near = F.when(F.greatest(F.length(left), F.length(right)) <= EDITED, F.levenshtein(left, right) <= (1 - least) * both + EPS) \
-        .otherwise(2 * F.size(F.array_intersect(bag(left), bag(right))) >= least * both - EPS)
-    return F.coalesce((2 * F.least(F.length(left), F.length(right)) >= least * both - EPS) & near, F.lit(False))
-
-
-def same(left: Column, right: Column) -> Column:
-    """Whether a form of the two values is equal; never null."""
-    return F.coalesce(plain(left) == plain(right), F.lit(False)) | F.coalesce(sorted_tokens(left) == sorted_tokens(right), F.lit(False))
+    both = f"(length({a}) + length({b}))"
+    return F.expr(f"coalesce(2 * least(length({a}), length({b})) >= {least} * {both} - {EPS} AND (greatest(length({a}), length({b})) > {EDITED} "
+                  f"OR levenshtein({a}, {b}) <= (1 - {least}) * {both} + {EPS}), false)")
 
 
 def _forms(values: DataFrame, *more: str) -> DataFrame:
     """A row for each form of a value, with its text, length and letters."""
     forms = F.array(*[F.struct(F.lit(i).alias("form"), form(F.col("value")).alias("text")) for i, form in enumerate(FORMS)])
-    return values.select("value", *more, F.explode(forms).alias("f")).select("value", *more, "f.form", "f.text").filter("text IS NOT NULL") \
-        .select("*", F.length("text").alias("size"), bag(F.col("text")).alias("bag"))
+    return values.select("value", *more, F.explode(forms).alias("f")).selectExpr(
+        "value", *more, "f.form", "f.text", "regexp_extract_all(f.text, '(?s).', 0) AS letters").filter("text IS NOT NULL") \
+        .withColumn("letters", F.array_sort("letters")).selectExpr("value", *more, "form", "text", "length(text) AS size", f"{BAG} AS bag")
 
 
 def _probes(forms: DataFrame, least: float, own: str, other: str) -> DataFrame:
     """A row for every length a partner may have and every token by which it must be met."""
     reach = (2.0 - least) / least
-    rows = forms.withColumnRenamed("size", own).withColumn(other, F.explode(F.sequence(
-        F.ceil(F.col(own) / reach - EPS).cast("int"), F.floor(F.col(own) * reach + EPS).cast("int"))))
-    spare = F.col(own) - F.ceil(least * (F.col(own) + F.col(other)) / 2 - EPS).cast("int")
-    return rows.filter(spare >= 0).withColumn("token", F.explode(F.slice("bag", F.lit(1), spare + 1))).drop("bag")
+    return forms.withColumnRenamed("size", own).selectExpr("*", f"explode(sequence(int(ceil({own} / {reach} - {EPS})), int(floor({own} * {reach} + {EPS})))) AS {other}") \
+        .selectExpr("*", f"{own} - int(ceil({least} * ({own} + {other}) / 2 - {EPS})) AS spare").filter("spare >= 0") \
+        .selectExpr("*", "explode(slice(bag, 1, spare + 1)) AS token").drop("bag", "spare")
 
 
 def _meeting(left: DataFrame, right: DataFrame, least: float, *keys: str) -> DataFrame:
@@ -79,7 +70,7 @@ def _meeting(left: DataFrame, right: DataFrame, least: float, *keys: str) -> Dat
     asks = _probes(_forms(left, *keys), least, "n", "m").withColumnsRenamed({"value": "left", "text": "a"})
     offers = _probes(_forms(right, *keys), least, "m", "n").withColumnsRenamed({"value": "right", "text": "b"})
     met = asks.join(offers, [*keys, "form", "n", "m", "token"]).select("left", "right", *keys, "a", "b").distinct()
-    return met.filter((F.col("a") == F.col("b")) | possible(F.col("a"), F.col("b"), F.lit(least)))
+    return met.filter((F.col("a") == F.col("b")) | possible("a", "b", f"{least}D"))
 
 
 def alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -144,15 +135,14 @@ def contained_alike(left: DataFrame, right: DataFrame, least: float, list_bound:
 def graded(rows: DataFrame, keys: Sequence[str], fields: Mapping[str, tuple[Column, Column, Column]]) -> DataFrame:
     """Rows (unique by ``keys``) with a similarity for each field, 0 below the field's threshold.
 
-    Null, equal and hopeless values are settled in the JVM; the rest is rated once for each distinct pair of values.
+    Null, equal and hopeless values are settled in the JVM; the rest is rated once for each distinct pair of texts.
     """
-    asks = F.filter(F.array(*[F.struct(F.lit(name).alias("__field"), a.alias("__a"), b.alias("__b"), least.alias("__least")) for name, (a, b, least) in fields.items()]),
-                    lambda x: x["__a"].isNotNull() & x["__b"].isNotNull() & ~same(x["__a"], x["__b"]))
-    a, b, least = F.col("__a"), F.col("__b"), F.col("__least")
-    open_ = rows.select(*keys, F.explode(asks).alias("ask")).select(*keys, "ask.*").filter(
-        possible(plain(a), plain(b), least) | possible(sorted_tokens(a), sorted_tokens(b), least))
-    sims = open_.select(a, b).distinct().select(a, b, F.greatest(ratio(plain(a), plain(b)), ratio(sorted_tokens(a), sorted_tokens(b))).alias("__sim"))
-    found = open_.join(sims, ["__a", "__b"]).filter(F.col("__sim") >= least).groupBy(*keys).agg(
-        *(F.max(F.when(F.col("__field") == name, F.col("__sim"))).alias(f"__{name}") for name in fields))
-    scores = {name: F.when(same(a, b), 1.0).otherwise(F.coalesce(F.col(f"__{name}"), F.lit(0.0))) for name, (a, b, _) in fields.items()}
-    return rows.join(found, list(keys), "left").withColumns(scores).drop(*(f"__{name}" for name in fields))
+    pairs = F.array(*[F.struct(F.lit(name).alias("field"), a.alias("x"), b.alias("y"), least.alias("least")) for name, (a, b, least) in fields.items()])
+    forms = F.array(*[F.struct(form(F.col("x")).alias("a"), form(F.col("y")).alias("b")) for form in FORMS])
+    asks = rows.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*").filter("x IS NOT NULL AND y IS NOT NULL") \
+        .select(*keys, "field", "least", F.explode(forms).alias("f")).select(*keys, "field", "least", "f.a", "f.b").filter("a IS NOT NULL AND b IS NOT NULL")
+    asks = asks.filter((F.col("a") == F.col("b")) | possible("a", "b", "least"))
+    sims = asks.filter("a <> b").select("a", "b").distinct().select("a", "b", ratio(F.col("a"), F.col("b")).alias("sim"))
+    rated = asks.join(sims, ["a", "b"], "left").withColumn("sim", F.coalesce("sim", F.lit(1.0))).filter("sim >= least")
+    found = rated.groupBy(*keys).agg(*(F.max(F.when(F.col("field") == name, F.col("sim"))).alias(f"__{name}") for name in fields))
+    return rows.join(found, list(keys), "left").withColumns({name: F.coalesce(F.col(f"__{name}"), F.lit(0.0)) for name in fields}).drop(*(f"__{name}" for name in fields))

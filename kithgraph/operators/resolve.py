@@ -162,8 +162,11 @@ def domain_pairs(mentions: DataFrame, candidates: DataFrame, category: str, thre
 
 def candidate_pairs(mentions: DataFrame, candidates: DataFrame, category: str, thresholds: Thresholds = model.MERGE_THRESHOLDS,
                     asked: DataFrame | None = None, offered: DataFrame | None = None, kinds: Sequence[str] = (),
-                    limits: Mapping[str, float] = model.RESOLUTION_LIMITS) -> DataFrame:
-    """Distinct (profile, signature) pairs of offered candidates with a score, or a context of ``kinds`` that may do without one."""
+                    limits: Mapping[str, float] = model.RESOLUTION_LIMITS, fields: Sequence[str] = ("domain", "email", "phone")) -> DataFrame:
+    """Distinct (profile, signature) pairs of offered candidates with a score, or a context of ``kinds`` that may do without one.
+
+    ``fields`` names those besides the name that both sides have at all.
+    """
     m = mentions.select("profile", *MENTION_FIELDS).distinct()
     c = candidates.select("signature", "id", *CANDIDATE_FIELDS).distinct()
     if category == "project":
@@ -171,11 +174,11 @@ def candidate_pairs(mentions: DataFrame, candidates: DataFrame, category: str, t
     else:
         names = (_values(m, F.col("name")), _values(c, F.col("name")), model.threshold(category, "name_similarity", thresholds))
         # persons who are alike by name but not contained can only be offered by e-mail, phone or domain, and are found by those
-        parts = [_met((alike if category == "org" else contained_alike)(*names), m, c, F.col("name"), F.col("name")),
-                 domain_pairs(m, c, category, thresholds, int(limits["max_alternates"]) + 1, asked, offered,
-                              [k for k in kinds if k != "domain"])]
+        parts = [_met((alike if category == "org" else contained_alike)(*names), m, c, F.col("name"), F.col("name"))]
+        if "domain" in fields:
+            parts.append(domain_pairs(m, c, category, thresholds, int(limits["max_alternates"]) + 1, asked, offered, [k for k in kinds if k != "domain"]))
         if category == "person":
-            for field in ("email", "phone"):
+            for field in [f for f in ("email", "phone") if f in fields]:
                 left, right = (F.lower(field), F.lower(field)) if field == "email" else (F.col(field), F.col(field))
                 parts.append(m.select("profile", left.alias("v")).join(c.select("signature", right.alias("v")), "v").select("profile", "signature"))
                 found = alike(_values(m, F.col(field)), _values(c, F.col(field)), model.threshold(category, f"{field}_similarity", thresholds))
@@ -187,9 +190,9 @@ def candidate_pairs(mentions: DataFrame, candidates: DataFrame, category: str, t
 
 
 def paired(mentions: DataFrame, candidates: DataFrame, category: str, thresholds: Thresholds = model.MERGE_THRESHOLDS, asked: DataFrame | None = None,
-           offered: DataFrame | None = None, kinds: Sequence[str] = (), limits: Mapping[str, float] = model.RESOLUTION_LIMITS) -> DataFrame:
+           offered: DataFrame | None = None, kinds: Sequence[str] = (), limits: Mapping[str, float] = model.RESOLUTION_LIMITS, **more) -> DataFrame:
     """``candidate_pairs``, written once: scores and contexts both read them."""
-    return cut_lineage(candidate_pairs(mentions, candidates, category, thresholds, asked, offered, kinds, limits))
+    return cut_lineage(candidate_pairs(mentions, candidates, category, thresholds, asked, offered, kinds, limits, **more))
 
 
 # --- scores -----------------------------------------------------------------------------
@@ -352,7 +355,9 @@ def resolve(mentions: DataFrame, candidates: DataFrame, category: str, context:
     m, c = sides(mentions, candidates)
     asked, offered = own_context(m, context), offered_context(c, candidate_context)
     kinds = [k for k in CONTEXT_KINDS if k in ("org", "domain") or context is not None and candidate_context is not None]
-    pairs = paired(m, c, category, thresholds, asked, offered, kinds, limits)
+    left, right = set(mentions.columns), set(candidates.columns)
+    fields = [f for f in ("email", "phone") if f in left & right] + ["domain"] * bool(left & {"domain", "email"} and right & {"domain", "email", "org_domain"})
+    pairs = paired(m, c, category, thresholds, asked, offered, kinds, limits, fields=fields)
     scored = scored_pairs(pairs, m, c, category, thresholds)
     hits = context_hits(pairs, asked, offered, category, thresholds)
     decisions = decide(m, ranked_candidates(scored, c, category, hits, limits), category, limits, thresholds)
