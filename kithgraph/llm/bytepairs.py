@@ -8,16 +8,16 @@ gives.  No place is tried twice after it has failed, so a piece takes time in pr
 Longest tokens come from one pass of an Aho-Corasick automaton over the piece, its bytes mapped to Latin-1.  Whether two tokens agree is
 worked out by merging their bytes once, and remembered, as are the pieces met lately.
 
-Documents are rows of their own: there is no shuffle.  The rank file is read on the driver and travels with the task's code; its size is that of
-the vocabulary.
+Documents are rows of their own: there is no shuffle.  The rank file is read on the driver and travels as a broadcast; its size is that of the
+vocabulary.
 """
 
 from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterator
-from itertools import accumulate, chain
+from collections.abc import Iterator, Mapping
+from itertools import accumulate, chain, islice
 
 import ahocorasick
 import numpy as np
@@ -31,9 +31,9 @@ from pyspark.sql import types as T
 from kithgraph.llm.common import bounded_slices
 
 PAIRS = 1 << 19  # remembered pairs of tokens
-PIECES = 1 << 18  # remembered pieces
+PIECES = 1 << 19  # remembered pieces
 SHORT = 48  # letters of a remembered piece at most
-WHOLE = 1 << 20  # letters of a text that is split at once; longer ones go piece by piece
+WHOLE = 1 << 21  # letters that are split at once; a longer text goes in portions
 SLICE = 1 << 20
 
 
@@ -82,8 +82,11 @@ def _halves(ranks: dict[bytes, int], token: bytes) -> tuple[bytes, bytes] | None
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary, self.bytes, self.shorter, self.pattern = vocabulary, vocabulary.bytes, vocabulary.shorter, regex.compile(pattern)
+    """Encodes by the fields of a ``Vocabulary``."""
+
+    def __init__(self, vocabulary: Mapping, pattern: str):
+        self.bytes, self.shorter, self.first, self.last, self.ordered = (vocabulary[k] for k in ("bytes", "shorter", "first", "last", "ordered"))
+        self.pattern = regex.compile(pattern)
         self.ranks = {token: rank for rank, token in self.bytes.items()}
         self.lengths = {rank: len(token) for rank, token in self.bytes.items()}
         self.automaton = ahocorasick.Automaton()
@@ -95,10 +98,10 @@ class Encoder:
 
     def _agree(self, left: int, right: int) -> bool:
         """Whether merging the bytes of two tokens together gives these two."""
-        if not self.vocabulary.ordered:
+        if not self.ordered:
             return merged(self.ranks, self.bytes[left] + self.bytes[right]) == [self.bytes[left], self.bytes[right]]
         # what stands at the border on both sides, as ranks go by: the two must never be merged before one of them is merged away from it
-        a, b, i, j, never = self.vocabulary.last[left], self.vocabulary.first[right], 0, 0, len(self.ranks) + (1 << 30)
+        a, b, i, j, never = self.last[left], self.first[right], 0, 0, len(self.ranks) + (1 << 30)
         while True:
             across = self.ranks.get(self.bytes[a[i]] + self.bytes[b[j]], never)
             left_goes = a[i + 1] if i + 1 < len(a) else never
@@ -132,13 +135,8 @@ class Encoder:
                 if not failed[end]:
                     if last == -1:
                         break
-                    pair = last << 32 | token
-                    fits = agreed.get(pair)
-                    if fits is None:
-                        if len(agreed) >= PAIRS:
-                            agreed.clear()
-                        fits = agreed[pair] = self._agree(last, token)
-                    if fits:
+                    fits = agreed.get(last << 32 | token)
+                    if self._fits(last << 32 | token) if fits is None else fits:
                         break
                 token = shorter[token]
             if token != -1:
@@ -154,18 +152,73 @@ class Encoder:
                 raise ValueError("the vocabulary lacks a byte of the text")
         return taken
 
+    def _fits(self, pair: int) -> bool:
+        """Whether two tokens agree, remembered."""
+        found = self.agreed.get(pair)
+        if found is None:
+            if len(self.agreed) >= PAIRS:
+                self.agreed.clear()
+            found = self.agreed[pair] = self._agree(pair >> 32, pair & 0xFFFFFFFF)
+        return found
+
+    def _learn(self, pieces: list[str]) -> dict[str, tuple[int, ...] | list[int]]:
+        """Ids of distinct pieces.
+
+        All pieces go through the automaton together, apart by a letter beyond Latin-1.  Where the longest tokens agree with each other they
+        are the answer, as no other sequence does; only the other pieces take back steps.
+        """
+        found: dict[str, tuple[int, ...] | list[int]] = {}
+        rest, data = [], []
+        for piece in pieces:
+            raw = piece.encode()
+            whole = self.ranks.get(raw)
+            if whole is not None:
+                found[piece] = (whole,)
+            else:
+                rest.append(piece)
+                data.append(raw)
+        if not rest:
+            return found
+        matches = list(self.automaton.iter_long("\u0100".join([d.decode("latin-1") for d in data])))
+        tokens = np.fromiter((t for _, (t, _) in matches), np.int64, len(matches))
+        ends = np.fromiter((e for e, _ in matches), np.int64, len(matches))
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        owner = np.searchsorted(np.cumsum(sizes + 1), ends, side="right")
+        pairs = (tokens[:-1] << 32 | tokens[1:])[owner[1:] == owner[:-1]]
+        kinds, which = np.unique(pairs, return_inverse=True)
+        apart = ~np.fromiter(map(self._fits, kinds.tolist()), bool, len(kinds))[which]
+        covered = np.bincount(owner, weights=np.fromiter((n for _, (_, n) in matches), np.int64, len(matches)), minlength=len(data)) == sizes
+        covered[owner[1:][owner[1:] == owner[:-1]][apart]] = False
+        cuts, ids = np.searchsorted(owner, np.arange(len(data) + 1)).tolist(), tokens.tolist()
+        for k, (piece, good) in enumerate(zip(rest, covered.tolist())):
+            found[piece] = ids[cuts[k]:cuts[k + 1]] if good else self._piece(data[k])
+        return found
+
+    def _look_up(self, pieces: list[str]) -> Iterator[tuple[int, ...] | list[int]]:
+        """Ids of each piece; new ones are learnt together."""
+        new = list(set(pieces).difference(self.pieces))
+        if len(self.pieces) + len(new) > PIECES:
+            self.pieces.clear()
+            new = list(set(pieces))
+        learnt = self._learn(new)
+        self.pieces.update((p, ids) for p, ids in learnt.items() if len(p) <= SHORT)
+        return map((self.pieces | learnt if any(len(p) > SHORT for p in new) else self.pieces).__getitem__, pieces)
+
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known = self.pieces
-        for piece in self.pattern.findall(text) if len(text) <= WHOLE else (m.group() for m in self.pattern.finditer(text)):
-            found = known.get(piece)
-            if found is None:
-                found = self._piece(piece.encode())
-                if len(piece) <= SHORT:
-                    if len(known) >= PIECES:
-                        known.clear()
-                    known[piece] = found
-            ids += found
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text; a very long text is split in portions."""
+        if sum(map(len, texts)) > WHOLE:
+            return [self._long(t) if len(t) > WHOLE else self.encode_all([t])[0] for t in texts]
+        parts = [self.pattern.findall(t) for t in texts]
+        found = self._look_up([p for part in parts for p in part])
+        return [list(chain.from_iterable(islice(found, len(part)))) for part in parts]
+
+    def _long(self, text: str) -> list[int]:
+        pieces, ids = (m.group() for m in self.pattern.finditer(text)), []
+        while part := list(islice(pieces, 1 << 16)):
+            ids += chain.from_iterable(self._look_up(part))
         return ids
 
 
@@ -186,12 +239,15 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", nam
     table gives an empty table.  Special tokens are ordinary text.
     """
     rest, schema = _with_column(docs, name, "array<int>")
-    vocabulary = Vocabulary(read_ranks(path))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary(read_ranks(path))))  # of the vocabulary's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, pattern)
+        worker = shared.value  # stays with the Python worker, and so does the encoder with the pieces it has met
+        if "encoder" not in worker:
+            worker["encoder"] = Encoder(worker, pattern)
+        encoder = worker["encoder"]
         for part, texts in bounded_slices(batches, text_col, SLICE):
-            ids = _lists([encoder.encode(t.decode("utf-8", "replace")) for t in texts])
+            ids = _lists(encoder.encode_all([t.decode("utf-8", "replace") for t in texts]))
             yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, name])
 
     return rest.mapInArrow(run, schema)
