@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from kithgraph.llm.common import bounded_slices
 
-PAIRS = 1 << 19  # remembered pairs of tokens
-PIECES = 1 << 19  # remembered pieces
+PAIRS = 1 << 18  # remembered pairs of tokens
+PIECES = 1 << 18  # remembered pieces
 SHORT = 48  # letters of a remembered piece at most
 WHOLE = 1 << 21  # letters that are split at once; a longer text goes in portions
 SLICE = 1 << 20
@@ -93,8 +93,9 @@ class Encoder:
         for rank in self.shorter:
             self.automaton.add_word(self.bytes[rank].decode("latin-1"), (rank, self.lengths[rank]))
         self.automaton.make_automaton()
+        self.same = {rank: rank for rank in self.bytes}  # one object for each id, whatever remembers it
         self.agreed: dict[int, bool] = {}
-        self.pieces: dict[str, tuple[int, ...] | list[int]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
 
     def _agree(self, left: int, right: int) -> bool:
         """Whether merging the bytes of two tokens together gives these two."""
@@ -122,13 +123,15 @@ class Encoder:
             found[end - n + 1] = token  # ends only grow
         return found
 
-    def _piece(self, piece: bytes) -> tuple[int, ...] | list[int]:
+    def _piece(self, piece: bytes, sure: list[int] | tuple[int, ...] = ()) -> tuple[int, ...]:
+        """Ids of a piece that begins with the longest tokens ``sure``, which are known to agree."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
         longest, failed, shorter, lengths, agreed = self._longest(piece), bytearray(len(piece) + 1), self.shorter, self.lengths, self.agreed
-        taken: list[int] = []
-        at, size, last, token = 0, len(piece), -1, longest[0]
+        taken = list(sure)
+        at, size, last = sum(map(lengths.__getitem__, sure)), len(piece), taken[-1] if taken else -1
+        token = longest[at] if at < size else -1
         while at < size:
             while token != -1:
                 end = at + lengths[token]
@@ -150,7 +153,7 @@ class Encoder:
                 last = taken[-1] if taken else -1
             else:
                 raise ValueError("the vocabulary lacks a byte of the text")
-        return taken
+        return tuple(taken)
 
     def _fits(self, pair: int) -> bool:
         """Whether two tokens agree, remembered."""
@@ -161,13 +164,13 @@ class Encoder:
             found = self.agreed[pair] = self._agree(pair >> 32, pair & 0xFFFFFFFF)
         return found
 
-    def _learn(self, pieces: list[str]) -> dict[str, tuple[int, ...] | list[int]]:
+    def _learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
         """Ids of distinct pieces.
 
         All pieces go through the automaton together, apart by a letter beyond Latin-1.  Where the longest tokens agree with each other they
         are the answer, as no other sequence does; only the other pieces take back steps.
         """
-        found: dict[str, tuple[int, ...] | list[int]] = {}
+        found: dict[str, tuple[int, ...]] = {}
         rest, data = [], []
         for piece in pieces:
             raw = piece.encode()
@@ -188,13 +191,17 @@ class Encoder:
         kinds, which = np.unique(pairs, return_inverse=True)
         apart = ~np.fromiter(map(self._fits, kinds.tolist()), bool, len(kinds))[which]
         covered = np.bincount(owner, weights=np.fromiter((n for _, (_, n) in matches), np.int64, len(matches)), minlength=len(data)) == sizes
-        covered[owner[1:][owner[1:] == owner[:-1]][apart]] = False
-        cuts, ids = np.searchsorted(owner, np.arange(len(data) + 1)).tolist(), tokens.tolist()
-        for k, (piece, good) in enumerate(zip(rest, covered.tolist())):
-            found[piece] = ids[cuts[k]:cuts[k + 1]] if good else self._piece(data[k])
+        left = np.flatnonzero(owner[1:] == owner[:-1])[apart]  # tokens that do not agree with the next one
+        cuts = np.searchsorted(owner, np.arange(len(data) + 1))
+        until = cuts[1:].copy()
+        np.minimum.at(until, owner[left], left + 1)
+        until[~covered] = cuts[:-1][~covered]
+        ids = list(map(self.same.__getitem__, tokens.tolist()))
+        for k, (piece, low, high, end) in enumerate(zip(rest, cuts[:-1].tolist(), cuts[1:].tolist(), until.tolist())):
+            found[piece] = tuple(ids[low:high]) if end == high and high > low else self._piece(data[k], ids[low:end])
         return found
 
-    def _look_up(self, pieces: list[str]) -> Iterator[tuple[int, ...] | list[int]]:
+    def _look_up(self, pieces: list[str]) -> Iterator[tuple[int, ...]]:
         """Ids of each piece; new ones are learnt together."""
         new = list(set(pieces).difference(self.pieces))
         if len(self.pieces) + len(new) > PIECES:
