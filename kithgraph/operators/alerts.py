@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kithgraph import model
+from kithgraph.session import cut_lineage
 from kithgraph.functions import ids
 from kithgraph.functions.text import strip
 from kithgraph.functions.values import age_days, recency
@@ -69,20 +70,36 @@ def alert_condition(types: Sequence[str] | None = None, statuses: Sequence[str]
     return cond
 
 
-def alert_page(alerts: DataFrame, types: Sequence[str] | None = None, statuses: Sequence[str] | None = None,
-               page: int = 1, size: int = 20) -> DataFrame:
-    """One page, newest first, with the total beside every row."""
+def page_of(rows: DataFrame, order: Sequence[Column], page: int = 1, size: int = 20) -> DataFrame:
+    """One page in the given order, with the position, the total and the number of pages beside every row.
+
+    The order is cut into range chunks, written once.  Their counts (one row for each chunk) tell the total and which chunk holds the page; only
+    that one is read and sorted, so a late page costs no more than an early one.  The order must leave no ties.
+    """
     size = min(max(size, 1), 200)
     skip = max(page - 1, 0) * size
-    kept = alerts.filter(alert_condition(types, statuses))
-    total = kept.count()
-    rows = kept.orderBy(F.desc("first_detected_at"), "id").offset(skip).limit(size)
-    order = Window.orderBy(F.desc("first_detected_at"), "id")
-    return (rows.withColumn("position", F.row_number().over(order) + skip)
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunked = cut_lineage(rows.repartitionByRange(width, *order).withColumn("__chunk", F.spark_partition_id()))
+    counts = sorted((r["__chunk"], r["n"]) for r in chunked.groupBy("__chunk").agg(F.count("*").alias("n")).collect())
+    held, before, total = [], 0, sum(n for _, n in counts)
+    for chunk, n in counts:
+        if before + n > skip and before < skip + size:
+            held.append((chunk, before))
+        before += n
+    first = held[0][1] if held else 0
+    found = chunked.filter(F.col("__chunk").isin([chunk for chunk, _ in held])).drop("__chunk").orderBy(*order).offset(skip - first).limit(size) if held else chunked.drop("__chunk").limit(0)
+    return (found.withColumn("position", F.row_number().over(Window.orderBy(*order)) + skip)  # a page of rows
             .withColumn("total", F.lit(total).cast("bigint"))
             .withColumn("total_pages", F.lit(math.ceil(total / size)).cast("bigint")))
 
 
+def alert_page(alerts: DataFrame, types: Sequence[str] | None = None, statuses: Sequence[str] | None = None,
+               page: int = 1, size: int = 20) -> DataFrame:
+    """One page of the alerts that pass the filters, last updated (or else detected) first, with the total beside every row."""
+    moment = F.coalesce("last_updated_at", "first_detected_at") if "last_updated_at" in alerts.columns else F.col("first_detected_at")
+    return page_of(alerts.filter(alert_condition(types, statuses)), (moment.desc_nulls_last(), F.col("id").asc()), page, size)
+
+
 def incidents(interactions: DataFrame, commitments: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (kind, item, entity, entity_label, ...) of everything that touches an interaction or a commitment.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,26 +149,45 @@ def contradictions(new: DataFrame, existing: DataFrame, rules: Rules = Rules())
                          code.alias("code"), kind.alias("type")).filter(F.col("code").isNotNull())
 
 
-def overlap_counts(new: DataFrame, existing: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Per new belief the number of existing ones with equal keys whose closed window overlaps its own.
+#: Order of what happens at one instant: a window that starts with another's end, or ends with its start, overlaps it.
+STARTS, ASKS_END, ASKS_START, ENDS = range(4)
+
+
+def _sweep(asks: DataFrame, spans: DataFrame, keys: Sequence[str], sums: Sequence[tuple[str, Sequence[str], str]]) -> DataFrame:
+    """Distinct asks (keys, start_at, end_at) with numbers of overlapping spans, one for each of ``sums``.
 
-    Overlapping = started by my end, minus ended before my start.  Both are read off running counts
-    per calendar day, so a key holds at most one row per day however many beliefs it has.
+    A sum is (name, the keys it runs within, SQL condition on the spans it counts).  Overlapping = started by my end, less ended before my
+    start; both are running sums over signed events in the order of instants.  Equal events are added up first, so a
+    key has a row for each of its instants, and all sums run within one exchange by their first two keys.  Windows that end before they start
+    overlap nothing.
     """
+    def marks(frame: DataFrame, start: int, end: int, *more: str) -> DataFrame:
+        both = F.array(F.struct(F.col("start_at").alias("at"), F.lit(start).alias("phase")), F.struct(F.col("end_at").alias("at"), F.lit(end).alias("phase")))
+        return frame.filter("start_at <= end_at").select(*keys, *more, F.explode(both).alias("m")).select(*keys, *more, "m.*")
+
+    asks = asks.select(*keys, "start_at", "end_at").filter("start_at <= end_at").distinct()
+    events = marks(spans, STARTS, ENDS).groupBy(*keys, "at", "phase").agg(F.count("*").alias("n"))
+    points = marks(asks, ASKS_START, ASKS_END, "start_at", "end_at").withColumn("n", F.lit(0).cast("bigint"))
+    rows = events.unionByName(points, allowMissingColumns=True).repartition(*keys[:2])
+    started, ended = F.col("phase") == STARTS, F.col("phase") == ENDS
+
+    def running(within: Sequence[str], condition: str) -> F.Column:
+        order = Window.partitionBy(*within).orderBy("at", "phase").rowsBetween(Window.unboundedPreceding, 0)
+        counted = F.when(F.expr(condition), F.col("n")).otherwise(0)
+        until = F.sum(F.when(started, counted).otherwise(0)).over(order)
+        before = F.sum(F.when(ended, counted).otherwise(0)).over(order)
+        return F.when(F.col("phase") == ASKS_END, until).otherwise(-before)
+
+    found = rows.select(*keys, "start_at", "end_at", "phase", *[running(within, condition).alias(name) for name, within, condition in sums])
+    return found.filter(F.col("phase").isin(ASKS_END, ASKS_START)).groupBy(*keys, "start_at", "end_at").agg(*[F.sum(name).alias(name) for name, *_ in sums])
+
+
+def overlap_counts(new: DataFrame, existing: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Per new belief the number of existing ones with equal keys whose closed window overlaps its own; windows are of dates or of instants."""
     keys = list(keys)
-    full = existing.filter(F.col("start_at").isNotNull() & F.col("end_at").isNotNull())
-    marks = full.select(*keys, F.explode(F.array(
-        F.struct(F.col("start_at").alias("day"), F.lit(1).alias("s"), F.lit(0).alias("e")),
-        F.struct(F.date_add("end_at", 1).alias("day"), F.lit(0).alias("s"), F.lit(1).alias("e")))).alias("m")).select(*keys, "m.*")
-    asked = new.select(*keys, F.explode(F.array("start_at", "end_at")).alias("day")).filter(F.col("day").isNotNull()).distinct() \
-        .select(*keys, "day", F.lit(0).alias("s"), F.lit(0).alias("e"))
-    days = marks.unionByName(asked).groupBy(*keys, "day").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
-    upto = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    running = days.select(*keys, "day", F.sum("s").over(upto).alias("started"), F.sum("e").over(upto).alias("ended"))
-    started = running.select(*keys, F.col("day").alias("end_at"), "started")
-    ended = running.select(*keys, F.col("day").alias("start_at"), "ended")
-    rows = new.join(started, keys + ["end_at"], "left").join(ended, keys + ["start_at"], "left")
-    return rows.withColumn(name, F.coalesce(F.col("started") - F.col("ended"), F.lit(0))).drop("started", "ended")
+    filled = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    found = _sweep(new.filter(filled), existing.filter(filled), keys, [(name, keys, "true")])
+    return new.join(found, [*keys, "start_at", "end_at"], "left").na.fill({name: 0})
 
 
 def key_counts(new: DataFrame, existing: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
@@ -178,54 +198,56 @@ def key_counts(new: DataFrame, existing: DataFrame, keys: Sequence[str], name: s
 def conflict_counts(new: DataFrame, existing: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Per new belief the number of contradictions of each code, without forming the pairs.
 
-    Windows are whole days.  Every number is a difference of group counts: pairs with another object
-    are the pairs of the group minus those of the same object, and so on.
+    Existing beliefs are counted by statement (subject, predicate, object, label); everything else is a sum over these counts, within the
+    subject and predicate, and of the overlapping windows a running sum.  Pairs with another object are those of the group less those of
+    the same, and so on.  A null or empty object is no conflict of values, but differs from others in time.  Every row of ``new`` has its
+    own counts, repeated ids included.
     """
-    group, same = ["subject_ref", "predicate"], ["subject_ref", "predicate", "object_ref"]
-    columns = ["id", *same, "object_label", "start_at", "end_at"]
-    new = cut_lineage(new.select(*columns))  # both sides are read by every count below
-    known = cut_lineage(existing.select(*columns).join(new.select("id").distinct(), "id", "left_anti"))
-
-    # Counts are looked up per distinct statement: many beliefs share one, and their counts with it.
-    full = same + ["object_label"]
-    cells = cut_lineage(known.groupBy(*full).agg(F.count("*").alias("n")))
-    labelled = cells.filter(F.col("object_label").isNotNull())
-    stated = new.select(*full).distinct()
-
-    def counted(frame: DataFrame, source: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-        return frame.join(source.groupBy(*keys).agg(F.sum("n").alias(name)), list(keys), "left").na.fill({name: 0})
-
-    stated = counted(stated, cells, group, "n_group")
-    stated = counted(stated, cells, same, "n_same")
-    stated = counted(stated, labelled, group, "n_labelled")
-    stated = counted(stated, labelled, group + ["object_label"], "n_label")
-    stated = counted(stated, labelled, same, "n_same_labelled")
-    stated = counted(stated, labelled, full, "n_same_label")
-
-    temporal_only = F.col("predicate").isin(*rules.temporal)
-    windows = new.filter(temporal_only).select("id", *same, "start_at", "end_at").distinct()
-    spans = known.filter(temporal_only)
-    windows = overlap_counts(overlap_counts(windows, spans, group, "n_overlap"), spans, same, "n_overlap_same")
-    n, t = new.alias("n"), stated.alias("t")
-    rows = n.join(t, [F.col(f"n.{c}").eqNullSafe(F.col(f"t.{c}")) for c in full], "left").select(
-        *[F.col(f"n.{c}").alias(c) for c in columns],
-        *[F.col(f"t.{c}").alias(c) for c in ("n_group", "n_same", "n_labelled", "n_label", "n_same_labelled", "n_same_label")])
-    rows = rows.join(windows.select("id", "n_overlap", "n_overlap_same").dropDuplicates(["id"]), "id", "left").na.fill({"n_overlap": 0, "n_overlap_same": 0})
+    group, statement = ["subject_ref", "predicate"], ["subject_ref", "predicate", "object_ref", "object_label"]
+    columns = ["id", *statement, "start_at", "end_at"]
+    new = cut_lineage(new.select(*columns))  # read as asks, as ids that are no longer old, and as the result
+    named = reduce(lambda a, b: a & b, [non_empty(c).isNotNull() for c in group])
+    known = cut_lineage(existing.filter(named).select(*columns).join(new.select("id").distinct(), "id", "left_anti"))
+    valid, labelled = "coalesce(object_ref, '') <> ''", "object_label IS NOT NULL"
+    # (name, within, condition): all of the group, those with a value, those of the same object; each of any label, with a label, of the same label
+    sums = [("all", group, "true"), ("all_l", group, labelled), ("all_s", [*group, "object_label"], labelled),
+            ("val", group, valid), ("val_l", group, f"{valid} AND {labelled}"), ("val_s", [*group, "object_label"], f"{valid} AND {labelled}"),
+            ("own", [*group, "object_ref"], "true"), ("own_l", [*group, "object_ref"], labelled), ("own_s", statement, labelled)]
+    cells = known.groupBy(*statement).agg(F.count("*").alias("n"))
+    asked = new.filter(named).select(*statement).distinct().withColumn("n", F.lit(0).cast("bigint"))
+    totals = cells.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True))).repartition(*group).select(
+        *statement, "asked", *[F.sum(F.when(F.expr(condition), F.col("n")).otherwise(0)).over(Window.partitionBy(*within)).alias(name)
+                               for name, within, condition in sums]).filter("asked").drop("asked")
+    timed = F.col("predicate").isin(*rules.temporal)
+    spans = _sweep(new.filter(named & timed), known.filter(timed), statement, [(f"t_{name}", within, condition) for name, within, condition in sums])
+
+    def met(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+        l, r = left.alias("l"), right.alias("r")
+        return l.join(r, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on], "left").select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in on])
+
+    rows = met(met(new, totals, statement), spans, [*statement, "start_at", "end_at"]).na.fill(0, [n for name, *_ in sums for n in (name, f"t_{name}")])
     rows = rows.join(_rules_table(new, rules), "predicate", "left")
     zero = F.lit(0).cast("bigint")
-    has_label = F.col("object_label").isNotNull()
-    temporal = F.when(F.col("temporal_code").isNotNull(), F.col("n_overlap") - F.col("n_overlap_same")).otherwise(zero)
-    single = F.coalesce("single", F.lit(False))
-    other = F.col("n_group") - F.col("n_same")
-    hard = F.when(single, other - temporal).otherwise(zero)
-    mismatch_all = F.when(has_label, F.col("n_labelled") - F.col("n_label")).otherwise(zero)
-    mismatch_same = F.when(has_label, F.col("n_same_labelled") - F.col("n_same_label")).otherwise(zero)
-    mismatch = F.when(single, mismatch_same).otherwise(mismatch_all)
-    soft = F.when(~single & F.col("soft_code").isNotNull(), other - (mismatch_all - mismatch_same)).otherwise(zero)
-    paradox = _paradox(F.col("subject_ref"), F.col("predicate"), rules)
+    has_value, single = non_empty("object_ref").isNotNull(), F.coalesce("single", F.lit(False))
+
+    def other(set_: str, kind: str = "") -> F.Column:
+        """Pairs that differ in time (all) or in value (val): of any label, or with another label."""
+        def count(which: str) -> F.Column:
+            name = f"{'t_' if set_.startswith('t_') else ''}{which}"
+            return F.col(name) if not kind else F.when(F.col("object_label").isNotNull(), F.col(f"{name}_l") - F.col(f"{name}_s")).otherwise(zero)
+
+        rest = count(set_.removeprefix("t_")) - count("own")
+        return F.when(has_value, rest).otherwise(zero) if set_.endswith("val") else rest
+
+    every_mismatch = F.when(F.col("object_label").isNotNull(), F.col("all_l") - F.col("all_s")).otherwise(zero)
+    apart, apart_timed = other("val", "label"), other("t_val", "label")
+    mismatch = every_mismatch - other("t_all", "label") - F.when(single, apart - apart_timed).otherwise(zero)
+    values = other("val") - other("t_val")
     return rows.select(
-        "id", "subject_ref", "predicate", "object_ref", F.col("n_group").alias("n_pairs"), temporal.alias("n_temporal"), hard.alias("n_cardinality"),
-        mismatch.alias("n_type_mismatch"), soft.alias("n_disagreement"), paradox.alias("paradoxical"))
+        "id", "subject_ref", "predicate", "object_ref", F.col("all").alias("n_pairs"), other("t_all").alias("n_temporal"),
+        F.when(single, values).otherwise(zero).alias("n_cardinality"), mismatch.alias("n_type_mismatch"),
+        F.when(~single & F.col("soft_code").isNotNull(), values - (apart - apart_timed)).otherwise(zero).alias("n_disagreement"),
+        _paradox(F.col("subject_ref"), F.col("predicate"), rules).alias("paradoxical"))
 
 
 def counts_by_type(counts: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ EVENTS_AS_OF = "2024-01-31"
 ALERTS_SQL = """,
 alerts AS (
   SELECT 'alert:'||c.id AS id, 'unresolved_commitment' AS type, CASE WHEN c.text LIKE '1%' THEN 'acknowledged' ELSE 'open' END AS status,
-         c.owner_id AS stakeholder_id, p.org_id AS org_id, c.id AS entity_id, c.due_date AS first_detected_at
+         c.owner_id AS stakeholder_id, p.org_id AS org_id, c.id AS entity_id, c.due_date AS first_detected_at,
+         CASE WHEN c.text LIKE '1%' THEN (c.due_date + INTERVAL 45 DAY)::DATE END AS last_updated_at
   FROM commitment c JOIN person p ON p.id = c.owner_id
   WHERE c.status NOT IN ('accepted','done') AND c.due_date < DATE '2000-01-01' - INTERVAL 7 DAY)
 """
@@ -33,7 +34,8 @@ def overdue_alerts(g: Graph) -> DataFrame:
             .select(F.concat(F.lit("alert:"), F.col("id")).alias("id"), F.lit("unresolved_commitment").alias("type"),
                     F.when(F.col("text").startswith("1"), "acknowledged").otherwise("open").alias("status"),
                     F.col("person_id").alias("stakeholder_id"), "org_id", F.col("id").alias("entity_id"),
-                    F.col("due_date").alias("first_detected_at")))
+                    F.col("due_date").alias("first_detected_at"),
+                    F.when(F.col("text").startswith("1"), F.date_add("due_date", 45)).alias("last_updated_at")))
 
 
 @query("j01_ego_network", sql="""
@@ -176,24 +178,24 @@ def distinct_collection(g: Graph) -> DataFrame:
 
 @query("a02_total_beside_page", sql=ALERTS_SQL + """
 SELECT (SELECT count(*) FROM alerts WHERE status = 'open')::BIGINT AS total, id, status FROM alerts WHERE status = 'open'
-ORDER BY first_detected_at DESC, id LIMIT 20""")
+ORDER BY coalesce(last_updated_at, first_detected_at) DESC, id LIMIT 20""")
 def total_beside_page(g: Graph) -> DataFrame:
     page = alert_ops.alert_page(overdue_alerts(g), statuses=["open"], page=1, size=20)
     return page.select("total", "id", "status")
 
 
 @query("l01_page", sql=ALERTS_SQL + """
-SELECT id, ceil((SELECT count(*) FROM alerts) / 50.0)::BIGINT AS total_pages FROM alerts ORDER BY first_detected_at DESC, id LIMIT 50 OFFSET 100""")
+SELECT id, ceil((SELECT count(*) FROM alerts) / 50.0)::BIGINT AS total_pages FROM alerts ORDER BY coalesce(last_updated_at, first_detected_at) DESC, id LIMIT 50 OFFSET 100""")
 def page(g: Graph) -> DataFrame:
     return alert_ops.alert_page(overdue_alerts(g), page=3, size=50).select("id", "total_pages")
 
 
 @query("l03_alerts_newest_first", sql=ALERTS_SQL + """
-SELECT id, first_detected_at, row_number() OVER (ORDER BY first_detected_at DESC, id)::BIGINT AS position
-FROM (SELECT * FROM alerts ORDER BY first_detected_at DESC, id LIMIT 20)""")
+SELECT id, first_detected_at, last_updated_at, row_number() OVER (ORDER BY coalesce(last_updated_at, first_detected_at) DESC, id)::BIGINT AS position
+FROM (SELECT * FROM alerts ORDER BY coalesce(last_updated_at, first_detected_at) DESC, id LIMIT 20)""")
 def alerts_newest_first(g: Graph) -> DataFrame:
     page = alert_ops.alert_page(overdue_alerts(g), page=1, size=20)
-    return page.select("id", "first_detected_at", F.col("position").cast("bigint").alias("position"))
+    return page.select("id", "first_detected_at", "last_updated_at", F.col("position").cast("bigint").alias("position"))
 
 
 @query("p12_alert_filter", sql=ALERTS_SQL + """

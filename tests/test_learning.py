@@ -3,9 +3,10 @@ from __future__ import annotations
 import json
 import random
 from collections import Counter
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kithgraph import model
@@ -135,6 +136,7 @@ def test_tiny_pink_cow(spark):
 # --- contradictions ---------------------------------------------------------------------
 
 BELIEF = "id string, subject_ref string, predicate string, object_ref string, object_label string, start_at date, end_at date"
+INSTANTS = BELIEF.replace("date", "timestamp")
 
 
 def random_beliefs(prefix, n, seed):
@@ -148,15 +150,33 @@ def random_beliefs(prefix, n, seed):
     return out
 
 
-def test_counts_agree_with_the_pairs(spark):
-    new, old = random_beliefs("n", 40, 1), random_beliefs("e", 60, 2)
-    new_df, old_df = spark.createDataFrame(new, BELIEF), spark.createDataFrame(old, BELIEF)
-    rules = beliefs.Rules(paradox=(("STATE", "S:hot"),))
+def moments(rows, seed):
+    """Beliefs with windows of minutes, with null and empty objects, several windows of one statement and repeated ids."""
+    rnd = random.Random(seed)
+    out = []
+    for r in rows:
+        start = datetime(2024, 1, 1, 12, rnd.randrange(0, 20)) if rnd.random() < 0.8 else None
+        end = start + timedelta(minutes=rnd.randrange(0, 9)) if start and rnd.random() < 0.9 else None
+        out.append((rnd.choice(rows)[0] if rnd.random() < 0.2 else r[0], r[1], r[2], rnd.choice([r[3], r[3], None, ""]), r[4], start, end))
+    return out
+
+
+@pytest.mark.parametrize("schema,rules", [(BELIEF, beliefs.Rules(paradox=(("STATE", "S:hot"),))),
+                                          (INSTANTS, beliefs.Rules(temporal={"OWNS": "temporal_overlap", "WORKS_WITH": "temporal_overlap", "STATE": "temporal_overlap"}))])
+def test_counts_agree_with_the_pairs(spark, schema, rules):
+    new, old = random_beliefs("n", 60, 1), random_beliefs("e", 90, 2)
+    if schema is INSTANTS:
+        new, old = moments(new, 3), moments(old, 4)
+    new_df, old_df = spark.createDataFrame(new, schema), spark.createDataFrame(old, schema)
     pairs = Counter((r["new_id"], r["code"]) for r in beliefs.contradictions(new_df, old_df, rules).collect())
     names = {"n_temporal": ("temporal_overlap",), "n_cardinality": ("cardinality_conflict", "identity_conflict"), "n_type_mismatch": ("type_mismatch",), "n_disagreement": ("value_disagreement",)}
-    for row in beliefs.conflict_counts(new_df, old_df, rules).collect():
-        for column, codes in names.items():
-            assert row[column] == sum(pairs[(row["id"], c)] for c in codes), (row, column)
+    counts = beliefs.conflict_counts(new_df, old_df, rules).collect()
+    assert len(counts) == len(new) and sum(pairs.values()) > 300
+    totals = Counter()
+    for row in counts:
+        totals.update({(row["id"], column): row[column] for column in names})
+    for (ident, column), n in totals.items():
+        assert n == sum(pairs[(ident, c)] for c in names[column]), (ident, column)
 
 
 def test_touching_windows_overlap_and_pair_kinds(spark):
