@@ -5,8 +5,8 @@ tried first, and kept if the merges of it and its left neighbour together would
 when none is left the last token is given back.  A sequence in which all neighbours agree in this sense is the one that merging by rank
 gives.  No place is tried twice after it has failed, so a piece takes time in proportion to its length, however long it is.
 
-Longest tokens come from one pass of an Aho-Corasick automaton over the piece, its bytes mapped to Latin-1.  Whether two tokens agree is
-worked out by merging their bytes once, and remembered, as are the pieces met lately.
+Longest tokens come from the trie of an Aho-Corasick automaton over the tokens' bytes, mapped to Latin-1, and only where a token is asked for.
+Whether two tokens agree is worked out once along their edges, and remembered, as are the pieces met lately.
 
 Documents are rows of their own: there is no shuffle.  The rank file is read on the driver and travels as a broadcast; its size is that of the
 vocabulary.
@@ -17,7 +17,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator, Mapping
-from itertools import accumulate, chain, islice
+from itertools import accumulate, chain
 
 import ahocorasick
 import numpy as np
@@ -30,10 +30,10 @@ from pyspark.sql import types as T
 
 from kithgraph.llm.common import bounded_slices
 
-PAIRS = 1 << 18  # remembered pairs of tokens
-PIECES = 1 << 18  # remembered pieces
+PAIRS = 1 << 19  # remembered pairs of tokens
+PIECES = 1 << 17  # remembered pieces, twice
 SHORT = 48  # letters of a remembered piece at most
-WHOLE = 1 << 21  # letters that are split at once; a longer text goes in portions
+WHOLE = 1 << 21  # letters that are split at once; a longer text goes piece by piece
 SLICE = 1 << 20
 
 
@@ -89,13 +89,14 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.ranks = {token: rank for rank, token in self.bytes.items()}
         self.lengths = {rank: len(token) for rank, token in self.bytes.items()}
-        self.automaton = ahocorasick.Automaton()
-        for rank in self.shorter:
-            self.automaton.add_word(self.bytes[rank].decode("latin-1"), (rank, self.lengths[rank]))
-        self.automaton.make_automaton()
-        self.same = {rank: rank for rank in self.bytes}  # one object for each id, whatever remembers it
+        self.known = {self.bytes[rank].decode("latin-1"): rank for rank in self.shorter} | {"": -1}
+        self.most = max(map(len, self.known))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for token in filter(None, self.known):
+            self.automaton.add_word(token)
         self.agreed: dict[int, bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def _agree(self, left: int, right: int) -> bool:
         """Whether merging the bytes of two tokens together gives these two."""
@@ -116,38 +117,44 @@ class Encoder:
             else:
                 j += 1
 
-    def _longest(self, piece: bytes) -> array:
-        """The longest token that starts at each place; -1 where none does."""
-        found = array("q", [-1]) * len(piece)
-        for end, (token, n) in self.automaton.iter(piece.decode("latin-1")):
-            found[end - n + 1] = token  # ends only grow
-        return found
-
-    def _piece(self, piece: bytes, sure: list[int] | tuple[int, ...] = ()) -> tuple[int, ...]:
-        """Ids of a piece that begins with the longest tokens ``sure``, which are known to agree."""
+    def _longest(self, piece: str, at: int) -> int:
+        """The longest token that starts at a place: a prefix the trie has, cut to one that is a token."""
+        part = piece[at:at + self.most]
+        n = self.automaton.longest_prefix(part)
+        token = self.known.get(part[:n])
+        while token is None:
+            n -= 1
+            token = self.known.get(part[:n])
+        return token
+
+    def _piece(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        longest, failed, shorter, lengths, agreed = self._longest(piece), bytearray(len(piece) + 1), self.shorter, self.lengths, self.agreed
-        taken = list(sure)
-        at, size, last = sum(map(lengths.__getitem__, sure)), len(piece), taken[-1] if taken else -1
-        token = longest[at] if at < size else -1
+        text, failed, shorter, lengths, agreed = piece.decode("latin-1"), set(), self.shorter, self.lengths, self.agreed
+        taken: list[int] = []
+        at, size, last, token = 0, len(piece), -1, self._longest(text, 0)
         while at < size:
             while token != -1:
                 end = at + lengths[token]
-                if not failed[end]:
+                if end not in failed:
                     if last == -1:
                         break
-                    fits = agreed.get(last << 32 | token)
-                    if self._fits(last << 32 | token) if fits is None else fits:
+                    pair = last << 32 | token
+                    fits = agreed.get(pair)
+                    if fits is None:
+                        if len(agreed) >= PAIRS:
+                            agreed.clear()
+                        fits = agreed[pair] = self._agree(last, token)
+                    if fits:
                         break
                 token = shorter[token]
             if token != -1:
                 taken.append(token)
                 at, last = end, token
-                token = longest[at] if at < size else -1
+                token = self._longest(text, at) if at < size else -1
             elif taken:
-                failed[at] = 1
+                failed.add(at)
                 token = taken.pop()
                 at -= lengths[token]
                 last = taken[-1] if taken else -1
@@ -155,77 +162,22 @@ class Encoder:
                 raise ValueError("the vocabulary lacks a byte of the text")
         return tuple(taken)
 
-    def _fits(self, pair: int) -> bool:
-        """Whether two tokens agree, remembered."""
-        found = self.agreed.get(pair)
+    def _met(self, piece: str) -> tuple[int, ...]:
+        """Ids of a piece that is not among the latest ones: from the ones before, or worked out."""
+        found = self.before.get(piece)
         if found is None:
-            if len(self.agreed) >= PAIRS:
-                self.agreed.clear()
-            found = self.agreed[pair] = self._agree(pair >> 32, pair & 0xFFFFFFFF)
-        return found
-
-    def _learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of distinct pieces.
-
-        All pieces go through the automaton together, apart by a letter beyond Latin-1.  Where the longest tokens agree with each other they
-        are the answer, as no other sequence does; only the other pieces take back steps.
-        """
-        found: dict[str, tuple[int, ...]] = {}
-        rest, data = [], []
-        for piece in pieces:
-            raw = piece.encode()
-            whole = self.ranks.get(raw)
-            if whole is not None:
-                found[piece] = (whole,)
-            else:
-                rest.append(piece)
-                data.append(raw)
-        if not rest:
-            return found
-        matches = list(self.automaton.iter_long("\u0100".join([d.decode("latin-1") for d in data])))
-        tokens = np.fromiter((t for _, (t, _) in matches), np.int64, len(matches))
-        ends = np.fromiter((e for e, _ in matches), np.int64, len(matches))
-        sizes = np.fromiter(map(len, data), np.int64, len(data))
-        owner = np.searchsorted(np.cumsum(sizes + 1), ends, side="right")
-        pairs = (tokens[:-1] << 32 | tokens[1:])[owner[1:] == owner[:-1]]
-        kinds, which = np.unique(pairs, return_inverse=True)
-        apart = ~np.fromiter(map(self._fits, kinds.tolist()), bool, len(kinds))[which]
-        covered = np.bincount(owner, weights=np.fromiter((n for _, (_, n) in matches), np.int64, len(matches)), minlength=len(data)) == sizes
-        left = np.flatnonzero(owner[1:] == owner[:-1])[apart]  # tokens that do not agree with the next one
-        cuts = np.searchsorted(owner, np.arange(len(data) + 1))
-        until = cuts[1:].copy()
-        np.minimum.at(until, owner[left], left + 1)
-        until[~covered] = cuts[:-1][~covered]
-        ids = list(map(self.same.__getitem__, tokens.tolist()))
-        for k, (piece, low, high, end) in enumerate(zip(rest, cuts[:-1].tolist(), cuts[1:].tolist(), until.tolist())):
-            found[piece] = tuple(ids[low:high]) if end == high and high > low else self._piece(data[k], ids[low:end])
+            found = self._piece(piece.encode())
+            if len(piece) > SHORT:
+                return found
+        if len(self.pieces) >= PIECES:  # what is met again lives on, the rest is forgotten
+            self.before, self.pieces = self.pieces, {}
+        self.pieces[piece] = found
         return found
 
-    def _look_up(self, pieces: list[str]) -> Iterator[tuple[int, ...]]:
-        """Ids of each piece; new ones are learnt together."""
-        new = list(set(pieces).difference(self.pieces))
-        if len(self.pieces) + len(new) > PIECES:
-            self.pieces.clear()
-            new = list(set(pieces))
-        learnt = self._learn(new)
-        self.pieces.update((p, ids) for p, ids in learnt.items() if len(p) <= SHORT)
-        return map((self.pieces | learnt if any(len(p) > SHORT for p in new) else self.pieces).__getitem__, pieces)
-
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; a very long text is split in portions."""
-        if sum(map(len, texts)) > WHOLE:
-            return [self._long(t) if len(t) > WHOLE else self.encode_all([t])[0] for t in texts]
-        parts = [self.pattern.findall(t) for t in texts]
-        found = self._look_up([p for part in parts for p in part])
-        return [list(chain.from_iterable(islice(found, len(part)))) for part in parts]
-
-    def _long(self, text: str) -> list[int]:
-        pieces, ids = (m.group() for m in self.pattern.finditer(text)), []
-        while part := list(islice(pieces, 1 << 16)):
-            ids += chain.from_iterable(self._look_up(part))
+        ids: list[int] = []
+        for piece in self.pattern.findall(text) if len(text) <= WHOLE else (m.group() for m in self.pattern.finditer(text)):
+            ids += self.pieces.get(piece) or self._met(piece)
         return ids
 
 
@@ -254,7 +206,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", nam
             worker["encoder"] = Encoder(worker, pattern)
         encoder = worker["encoder"]
         for part, texts in bounded_slices(batches, text_col, SLICE):
-            ids = _lists(encoder.encode_all([t.decode("utf-8", "replace") for t in texts]))
+            ids = _lists([encoder.encode(t.decode("utf-8", "replace")) for t in texts])
             yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, name])
 
     return rest.mapInArrow(run, schema)
