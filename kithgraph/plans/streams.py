@@ -46,10 +46,11 @@ def broadcast_bus(g: Graph) -> DataFrame:
 
 @query("t02_replayable_stream", sql="SELECT event_type, count(*)::BIGINT AS n, count(*)::BIGINT AS n_replayed FROM events GROUP BY 1", graph=False)
 def replayable_stream(g: Graph) -> DataFrame:
-    """Consume, start again from the checkpoint, and let a second group replay from the first event."""
+    """Consume, start again from the checkpoint, and let a second group replay from the first event; a redelivered event adds no row."""
     first, second, group = (scratch_path(g.spark, n) for n in ("consumed", "replayed", "group"))
     for path, checkpoint in ((first, group), (first, group), (second, group + "-replay")):
-        bus.subscribe(event_stream(g), bus.idempotent_append(path), checkpoint).awaitTermination()
+        events = bus.distinct_events(event_stream(g).unionByName(event_stream(g)), at="ts")  # everything is delivered twice
+        bus.subscribe(events, bus.idempotent_append(path), checkpoint).awaitTermination()
     consumed = g.spark.read.parquet(first).groupBy("event_type").agg(F.count("*").alias("n"))
     return consumed.join(g.spark.read.parquet(second).groupBy("event_type").agg(F.count("*").alias("n_replayed")), "event_type")
 

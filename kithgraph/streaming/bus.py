@@ -44,6 +44,15 @@ def drain(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None
     return path
 
 
+def distinct_events(df: DataFrame, key: str = "event_id", at: str = "occurred_at", within: str = "1 day") -> DataFrame:
+    """Each event once, also when it is delivered again in a later batch.
+
+    Keys seen are state, and are forgotten once the stream's time has moved on by ``within``; what is delivered later than
+    that is let through again, and events without a time are not told apart by it.
+    """
+    return df.withWatermark(at, within).dropDuplicatesWithinWatermark([key])
+
+
 def subscribe(df: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """One subscriber: sees every event from its checkpoint on.  Hand-over is at least once, so handlers must be idempotent."""
     return df.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
