@@ -25,6 +25,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a ``written`` table that nothing will read any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def row_keyed(docs: DataFrame, id_col: str, text_col: str, name: str = "__key") -> DataFrame:
     """Adds a unique long that sorts rows by (id, text), nulls first.
 
