@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,11 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
+def text_bytes(column: pa.Array) -> np.ndarray:
+    """Length of each text of an Arrow column in bytes; 0 where it is null."""
+    return pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def bounded_slices(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Runs of rows with about ``limit`` bytes of text each; a longer text is a run of its own."""
     for batch in batches:

@@ -12,7 +12,6 @@ all distinct words of a batch at once, for all languages.
 from __future__ import annotations
 
 import os
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kithgraph.llm.common import utf8, written
+from kithgraph.llm.common import text_bytes, written
 from kithgraph.llm.rolling import Hasher
 
 VOCABULARY = os.environ.get("LLM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -34,7 +33,6 @@ SCALE = 64.0  # keeps products near 1: about 6 bits for each byte
 MOST_BYTES = 40  # longer runs of letters, as in writing without spaces, are cut into words of so many bytes
 SLICE = 4 << 20
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 NOT_LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -101,7 +99,7 @@ class Words:
         _, first, self.which = np.unique(self.hasher.between(start, end), return_index=True, return_inverse=True)
         self.start, self.length = start[first], (end - start)[first]
 
-    def groups(self, limit: int = 1 << 16) -> Iterator[np.ndarray]:
+    def groups(self, limit: int = 1 << 13) -> Iterator[np.ndarray]:
         """Distinct words of one length, in portions."""
         order = np.argsort(self.length, kind="stable")
         cuts = np.flatnonzero(np.diff(self.length[order])) + 1
@@ -146,7 +144,7 @@ def word_logs(words: Words, pieces: Pieces, p: np.ndarray) -> np.ndarray:
 def expected_counts(words: Words, weights: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
     """How often each piece is expected in the words (weights[word, language]) over all segmentations."""
     counts = np.zeros_like(p)
-    for group in words.groups(1 << 13):
+    for group in words.groups():
         group = group[weights[group].any(axis=1)]
         if not len(group):
             continue
@@ -218,15 +216,15 @@ def _score(texts: list[str | None], model: Model, pieces: Pieces) -> tuple[list[
     logs -= logs.max(axis=1, keepdims=True)
     odds = np.exp(logs)
     best, score = odds.argmax(axis=1), odds.max(axis=1) / odds.sum(axis=1)
-    known = np.array([t is not None and LETTER.search(t) is not None for t in texts], dtype=bool)
+    known = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], dtype=bool)
     return [model.languages[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist())], np.where(known, score, 0.0)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """Adds the predicted language and the posterior probability of it (languages equally likely beforehand) to every row.
 
-    Null texts and texts without a letter are ``und`` with score 0, and so is everything where the model knows no language.  Letters of
-    scripts that the pieces do not cover count through their bytes.  Rows keep all their columns.
+    Null texts and texts without a letter (number signs are none) are ``und`` with score 0, and so is everything where the model knows no
+    language.  Letters of scripts that the pieces do not cover count through their bytes.  Rows keep all their columns.
     """
     names = [c for c in docs.columns if c not in (lang_name, score_name)]
     if not model.languages:
@@ -238,7 +236,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_name: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(shared.value.pieces)
         for batch in batches:
-            sizes = np.cumsum([len(t) for t in utf8(batch.column(at))])
+            sizes = np.cumsum(text_bytes(batch.column(at)))
             cuts = np.flatnonzero(np.diff(sizes // SLICE, prepend=0)).tolist() if len(sizes) else []
             for low, high in zip([0, *cuts], [*cuts, batch.num_rows]):
                 if high > low:

@@ -63,13 +63,13 @@ def test_very_long_words_do_not_overflow():
 
 
 def test_held_out_languages(documents, spark):
-    rows = labelled(2, 400) + [(900, None, "aa"), (901, "", "bb"), (902, "42 !", "cc"), (903, "the thing", None), (1, "der und keit", "bb"), (1, "der und keit", "bb")]
+    rows = labelled(2, 400) + [(900, None, "aa"), (901, "", "bb"), (902, "42 !", "cc"), (904, "½ ² ⅓ ①② Ⅳ", "cc"), (903, "the thing", None), (1, "der und keit", "bb"), (1, "der und keit", "bb")]
     docs = documents(rows, "doc_id long, text string, lang string").repartition(4)
     model = langid.train(docs, F.col("doc_id") % 4 != 2, per_language=80)
     found = langid.identify(docs, model).filter("doc_id % 4 = 2 AND doc_id < 900").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.98 * len(found)
     odd = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, model).filter("doc_id >= 900").collect()}
-    assert odd[900] == odd[901] == odd[902] == ("und", 0.0) and odd[903][0] == "aa"
+    assert odd[900] == odd[901] == odd[902] == odd[904] == ("und", 0.0) and odd[903][0] == "aa"
     left = langid.without_undetermined(docs, per_language=50)
     assert left.columns == docs.columns and left.count() == len(rows) - 3
 
