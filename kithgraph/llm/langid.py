@@ -31,7 +31,7 @@ EM_ROUNDS = 4
 SHARE_OF_ALL = 0.01
 SCALE = 64.0  # keeps products near 1: about 6 bits for each byte
 MOST_BYTES = 40  # longer runs of letters, as in writing without spaces, are cut into words of so many bytes
-SLICE = 4 << 20
+SLICE = 1 << 20
 UNDETERMINED = "und"
 NOT_LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 

@@ -71,7 +71,7 @@ def test_held_out_languages(documents, spark):
     odd = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, model).filter("doc_id >= 900").collect()}
     assert odd[900] == odd[901] == odd[902] == odd[904] == ("und", 0.0) and odd[903][0] == "aa"
     left = langid.without_undetermined(docs, per_language=50)
-    assert left.columns == docs.columns and left.count() == len(rows) - 3
+    assert left.columns == docs.columns and left.count() == len(rows) - 4
 
 
 def test_language_of_empty_and_unlabelled_tables(documents):
